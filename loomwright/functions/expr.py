@@ -110,3 +110,7 @@ def first_max_index(arr) -> Column:
     """Zero-based argmax, first index on ties."""
     arr = col(arr)
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1))

@@ -1,2 +1,2 @@
 from loomwright.queries.registry import ORACLE, QUERIES  # noqa: F401
-from loomwright.queries import sources_checks, scalar  # noqa: F401
+from loomwright.queries import sources_checks, scalar, missing_encode, joins  # noqa: F401
