@@ -24,8 +24,10 @@ def group_quantiles(
         return rows.groupBy(*keys).agg(*[F.percentile("__v", p).alias(n) for n, p in probs.items()])
     counts = rows.filter(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     cum = running(counts, keys, [F.col("__v")], sums={"__cum": F.col("__n")}, limit=limit)
-    size = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
-    joined = cum.join(size, keys) if keys else cum.crossJoin(F.broadcast(size))  # size: a single row
+    if keys:
+        joined = cum.join(counts.groupBy(*keys).agg(F.sum("__n").alias("__size")), keys)
+    else:
+        joined = cum.withColumn("__size", F.lit(counts.agg(F.sum("__n")).first()[0] or 0))
     aggs = []
     for n, p in probs.items():
         at = F.lit(float(p)) * (F.col("__size") - 1)

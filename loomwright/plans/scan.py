@@ -17,6 +17,7 @@ from loomwright.session import group_row_limit
 
 _HOT = "__hot"
 _CHUNK = "__chunk"
+_LOOK = object()  # "find the hot keys yourself"
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -66,6 +67,7 @@ def running(
     chunk_on: Column | None = None,
     descending: bool = False,
     limit: int | None = None,
+    hot=_LOOK,
 ) -> DataFrame:
     """Add running sums/maxima (current row included) per key in the given total order.
 
@@ -73,7 +75,7 @@ def running(
     from quantile edges of ``chunk_on``. ``descending`` says that ``order`` runs down ``chunk_on``.
     """
     sums, maxes, keys = sums or {}, maxes or {}, list(keys)
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df, keys, limit) if hot is _LOOK else hot
     frame = (Window.unboundedPreceding, Window.currentRow)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
@@ -131,6 +133,7 @@ def lookback_windows(
     build: Callable[[Window], dict[str, Column]],
     chunk_on: Column | None = None,
     limit: int | None = None,
+    hot=_LOOK,
 ) -> DataFrame:
     """Window columns that look at most ``depth`` rows back, per key.
 
@@ -139,13 +142,13 @@ def lookback_windows(
     """
     limit = limit or group_row_limit(df.sparkSession)
     keys = list(keys)
-    hot = hot_keys(df, keys, limit)
+    hot = hot_keys(df, keys, limit) if hot is _LOOK else hot
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in build(w).items()])
     size = max(limit, 2 * depth)
     marked = _mark_hot(df, keys, hot)
-    pos = row_numbers(marked, keys, order, "__pos", chunk_on=chunk_on, limit=limit)
+    pos = row_numbers(marked, keys, order, "__pos", chunk_on=chunk_on, limit=limit, hot=hot)
     block = F.when(F.col(_HOT), F.floor((F.col("__pos") - 1) / size)).otherwise(F.lit(0)).cast("long")
     feeds_next = F.col(_HOT).isNotNull() & (((F.col("__pos") - 1) % size) >= size - depth)
     spread = (
