@@ -68,7 +68,7 @@ def lines(spark, d):
         "client", "credit_limit", (-C("l_linenumber")).cast("long").alias("months"), C("l_quantity").cast("long").alias("instalments"),
         F.when(C("l_returnflag") == "R", C("l_linenumber")).otherwise(0).cast("long").alias("dpd"),
         F.when(C("l_linestatus") == "O", "Active").otherwise("Done").alias("line_status"), price.alias("balance"),
-        (C("l_quantity").cast("long") * 1000000).alias("min_due"), C("l_linenumber").cast("long").alias("number"),
+        (C("l_quantity").cast("long") * 770000).alias("min_due"), C("l_linenumber").cast("long").alias("number"),
         (C("opened") + 60).alias("days_due"), days("l_shipdate").alias("days_paid"), (price * 100).alias("due"),
         (price * (100 - F.round(C("l_discount") * 100).cast("long"))).alias("paid")))
 
@@ -100,7 +100,7 @@ _LINES = f"""(SELECT *, (days_late > 0)::INT AS is_late, (shortfall > 0)::INT AS
   CASE WHEN days_paid - days_due < 0 THEN 0 ELSE days_paid - days_due END AS days_late, CASE WHEN due - paid < 0 THEN 0 ELSE due - paid END AS shortfall,
   paid::DOUBLE / nullif(due, 0) AS payment_ratio FROM (SELECT o_custkey AS client, round(o_totalprice * 100)::BIGINT AS credit_limit, -l_linenumber::BIGINT AS months,
   l_quantity::BIGINT AS instalments, CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END::BIGINT AS dpd, (l_linestatus = 'O')::INT AS is_active,
-  round(l_extendedprice * 100)::BIGINT AS balance, l_quantity::BIGINT * 1000000 AS min_due, l_linenumber::BIGINT AS number,
+  round(l_extendedprice * 100)::BIGINT AS balance, l_quantity::BIGINT * 770000 AS min_due, l_linenumber::BIGINT AS number,
   date_diff('day', DATE '{CUT}', o_orderdate::DATE) + 60 AS days_due, date_diff('day', DATE '{CUT}', l_shipdate::DATE) AS days_paid,
   round(l_extendedprice * 100)::BIGINT * 100 AS due, round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT) AS paid
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))"""
