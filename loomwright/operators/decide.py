@@ -115,26 +115,31 @@ def score_weights(df: DataFrame, cols: Sequence[str], y: str, candidates: Sequen
     return [sum(v) / len(v) for _, v in sorted(by_cand.items())]
 
 
-Scorer = Callable[[list[list[float]]], list[float]]
+# scores a batch of (search, weights) pairs; several searches advance together, one job per step
+Scorer = Callable[[list[tuple[int, list[float]]]], list[float]]
 
 
-def _ascend(start: list[float], scorer: Scorer, grids, norm) -> tuple[list[float], float]:
-    best_w, best = start, scorer([start])[0]
+def _ascend(starts: list[list[float]], scorer: Scorer, grids, norm) -> list[tuple[list[float], float]]:
+    best_w = list(starts)
+    best = scorer(list(enumerate(starts)))
     for grid in grids:
-        for j in range(len(start)):
-            cands = []
-            for v in grid(best_w[j]):
-                w = list(best_w)
-                w[j] = v
-                cands.append(norm(w))
-            scores = scorer(cands)
-            top = max(scores)
-            if top > best:
-                best, best_w = top, cands[scores.index(top)]
-    return best_w, best
-
-
-def tune_weights(scorer: Scorer, prior: Sequence[float], rounds: int = 6, grid: int = 21, span: float = 2.0) -> tuple[list[float], float]:
+        for j in range(len(starts[0])):
+            pairs = []
+            for i, w in enumerate(best_w):
+                for v in grid(w[j]):
+                    cand = list(w)
+                    cand[j] = v
+                    pairs.append((i, norm(cand)))
+            # strict improvement and first candidate wins, as in a sequential scan
+            for (i, cand), s in zip(pairs, scorer(pairs)):
+                if s > best[i]:
+                    best[i], best_w[i] = s, cand
+    return list(zip(best_w, best))
+
+
+def tune_weights(
+    scorer: Scorer, prior: Sequence[float], rounds: int = 6, grid: int = 21, span: float = 2.0, searches: int = 1
+) -> list[tuple[list[float], float]]:
     """Coordinate ascent from inverse-prior weights on a shrinking multiplicative grid; mean weight 1."""
 
     def norm(w):
@@ -147,10 +152,10 @@ def tune_weights(scorer: Scorer, prior: Sequence[float], rounds: int = 6, grid:
         return lambda base: [base * math.exp(s) for s in steps]
 
     start = norm([1.0 / max(p, 1e-9) for p in prior])
-    return _ascend(start, scorer, [level(r) for r in range(rounds)], norm)
+    return _ascend([start] * searches, scorer, [level(r) for r in range(rounds)], norm)
 
 
-def tune_weights_geo(scorer: Scorer, n_classes: int, rounds: int = 4, grid: int = 41) -> tuple[list[float], float]:
+def tune_weights_geo(scorer: Scorer, n_classes: int, rounds: int = 4, grid: int = 41) -> list[tuple[list[float], float]]:
     """The same ascent from equal weights over a geometric grid; weights sum to 1."""
 
     def norm(w):
@@ -166,7 +171,7 @@ def tune_weights_geo(scorer: Scorer, n_classes: int, rounds: int = 4, grid: int
 
         return points
 
-    return _ascend([1.0] * n_classes, scorer, [level(r) for r in range(rounds)], norm)
+    return _ascend([[1.0] * n_classes], scorer, [level(r) for r in range(rounds)], norm)
 
 
 # ---- votes, routing, label repair --------------------------------------------------------------

@@ -130,3 +130,41 @@ CLASS_LONG = """(SELECT row_id, y, fold, c, raw, raw / (sum(raw) OVER (PARTITION
     ((o_custkey * (c + 3) + month(o_orderdate) * (c + 1)) % 17 + 1
      + CASE WHEN (left(o_orderpriority, 1)::INT - 1) = c AND o_orderkey % 3 = 0 THEN 10 ELSE 0 END)::INT AS raw
   FROM orders, range(5) t(c)))"""
+
+
+# three class-probability runs over the same rows: multipliers and bonus of their integer raw scores
+_RUN_RULES = {"m0": (3, 1, 17, 3, 10), "m1": (7, 2, 13, 4, 8), "m2": (11, 5, 19, 5, 9)}
+
+
+def class_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Wide: (row_id, y, fold, m0, m1, m2), each run an array of five probabilities."""
+    o = table(spark, d, "orders")
+    y = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("o_orderpriority")).cast("int") - 1
+    base = o.select(F.col("o_orderkey").alias("row_id"), y.alias("y"), F.col("o_custkey").alias("cust"),
+                    F.month("o_orderdate").alias("m"), (F.col("o_orderkey") % 5).cast("int").alias("fold"))
+    for run, (a, b, mod, every, bonus) in _RUN_RULES.items():
+        base = base.withColumn(f"raw_{run}", F.array(*[
+            ((F.col("cust") * (c + a) + F.col("m") * (c + b)) % mod + 1
+             + F.when((F.col("y") == c) & (F.col("row_id") % every == 0), bonus).otherwise(0)).cast("int") for c in range(5)]))
+
+    def normal(r):
+        r = F.col(r)
+        return F.transform(r, lambda x: x / (r[0] + r[1] + r[2] + r[3] + r[4]))
+
+    return base.select("row_id", "y", "fold", *[normal(f"raw_{run}").alias(run) for run in _RUN_RULES])
+
+
+CLASS_RUNS = "(" + " UNION ALL ".join(
+    f"""SELECT '{run}' AS run, row_id, y, fold, c, raw / (sum(raw) OVER (PARTITION BY row_id))::DOUBLE AS score FROM (
+  SELECT o_orderkey AS row_id, (left(o_orderpriority, 1)::INT - 1) AS y, (o_orderkey % 5)::INT AS fold, c::INT AS c,
+    ((o_custkey * (c + {a}) + month(o_orderdate) * (c + {b})) % {mod} + 1
+     + CASE WHEN (left(o_orderpriority, 1)::INT - 1) = c AND o_orderkey % {every} = 0 THEN {bonus} ELSE 0 END)::INT AS raw
+  FROM orders, range(5) t(c))""" for run, (a, b, mod, every, bonus) in _RUN_RULES.items()) + ")"
+
+
+def class_runs_long(spark: SparkSession, d: str) -> DataFrame:
+    w = class_runs(spark, d)
+    runs = list(_RUN_RULES)
+    long = w.select("row_id", "y", "fold", F.explode(F.array(*[
+        F.struct(F.lit(r).alias("run"), F.col(r).alias("p")) for r in runs])).alias("s"))
+    return long.select("s.run", "row_id", "y", "fold", F.posexplode("s.p").alias("c", "score"))

@@ -231,8 +231,8 @@ def _tuned(spark, d, search):
     kept = df.select("y", *cols).persist()
     try:
         counts = [r["n"] for r in kept.groupBy("y").agg(row_count().alias("n")).orderBy("y").collect()]
-        scorer = lambda cands: D.score_weights(kept, cols, "y", cands)
-        weights, best = search(scorer, [c / sum(counts) for c in counts])
+        scorer = lambda pairs: D.score_weights(kept, cols, "y", [w for _, w in pairs])
+        weights, best = search(scorer, [c / sum(counts) for c in counts])[0]
     finally:
         kept.unpersist()
     w = F.array(*[F.lit(x) for x in weights])
