@@ -114,3 +114,14 @@ def first_max_index(arr) -> Column:
 
 def row_count() -> Column:
     return F.count(F.lit(1))
+
+
+def array_literal(values) -> Column:
+    """Nested lists of numbers as one array literal, parsed in a single call."""
+
+    def text(v) -> str:
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(text(x) for x in v) + ")"
+        return f"{float(v)!r}D"
+
+    return F.expr(text(list(values)))

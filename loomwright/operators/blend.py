@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import row_count
+from loomwright.functions.expr import array_literal, row_count
 from loomwright.operators.decide import argmax_of, tune_weights
 from loomwright.operators.metrics import roc_auc
 from loomwright.operators.windows import value_ranks
@@ -91,7 +91,7 @@ def hillclimb(
 def score_picks(wide: DataFrame, runs: Sequence[str], y: str, n_classes: int, metric: Callable[[list[Column], Column], Column],
                 trials: Sequence[dict[str, int]]) -> list[float]:
     """One aggregation that scores every trial; pick counts enter as one array value."""
-    table = F.array(*[F.array(*[F.lit(float(t.get(r, 0))) for r in runs]) for t in trials])
+    table = array_literal([[t.get(r, 0) for r in runs] for t in trials])
     tried = wide.select(y, *runs, F.posexplode(table).alias("trial", "w"))
     cls = [reduce(lambda a, b: a + b, [F.get(F.col(r), F.lit(c)) * F.get(F.col("w"), F.lit(i)) for i, r in enumerate(runs)]) for c in range(n_classes)]
     summed = tried.select("trial", y, *[e.alias(f"s{c}") for c, e in enumerate(cls)])
@@ -104,13 +104,11 @@ def score_tuned_picks(wide: DataFrame, runs: Sequence[str], y: str, n_classes: i
     """Balanced accuracy of every trial after its own class-weight search, all searches in step."""
 
     def scorer(pairs):
-        table = F.array(*[F.struct(
-            F.array(*[F.lit(float(trials[i].get(r, 0))) for r in runs]).alias("k"), F.array(*[F.lit(float(v)) for v in w]).alias("w"))
-            for i, w in pairs])
-        tried = wide.select(y, *runs, F.posexplode(table).alias("cand", "s"))
+        table = array_literal([[*[trials[i].get(r, 0) for r in runs], *w] for i, w in pairs])
+        tried = wide.select(y, *runs, F.posexplode(table).alias("cand", "w"))
         cls = [
-            reduce(lambda a, b: a + b, [F.get(F.col(r), F.lit(c)) * F.get(F.col("s.k"), F.lit(i)) for i, r in enumerate(runs)])
-            * F.get(F.col("s.w"), F.lit(c)) for c in range(n_classes)]
+            reduce(lambda a, b: a + b, [F.get(F.col(r), F.lit(c)) * F.get(F.col("w"), F.lit(i)) for i, r in enumerate(runs)])
+            * F.get(F.col("w"), F.lit(len(runs) + c)) for c in range(n_classes)]
         summed = tried.select("cand", y, *[e.alias(f"s{c}") for c, e in enumerate(cls)])
         hit = (argmax_of([F.col(f"s{c}") for c in range(n_classes)]) == F.col(y)).cast("double")
         recall = summed.groupBy("cand", y).agg(F.avg(hit).alias("recall")).collect()
@@ -216,9 +214,8 @@ def ridge_by_fold(df: DataFrame, cols: Sequence[str], y: str, fold: str, alphas:
         mx, my = sx / n, sy / n
         lam, vec = np.linalg.eigh(g - n * np.outer(mx, mx))
         q = vec.T @ (b - n * mx * my)
-        flat = [float(v) for v in (*mx, *vec.T.ravel(), *lam, *q)]
         params.append(F.struct(F.lit(f).alias("f"), F.lit(float(n)).alias("n"), F.lit(float(my)).alias("my"),
-                               F.array(*[F.lit(v) for v in flat]).alias("v")))
+                               array_literal([*mx, *vec.T.ravel(), *lam, *q]).alias("v")))
     one = df.select(F.col(fold).alias("__fold"), F.col(y).alias("__y"), *cols, F.explode(F.array(*params)).alias("s"))
     one = one.filter(F.col("__fold") != F.col("s.f"))
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import col, first_max_index, flag, row_count, safe_div
+from loomwright.functions.expr import array_literal, col, first_max_index, flag, row_count, safe_div
 from loomwright.operators.metrics import pr_curve
 from loomwright.operators.windows import cumulative_hits
 from loomwright.plans.scan import lookback_windows
@@ -105,7 +105,7 @@ def score_weights(df: DataFrame, cols: Sequence[str], y: str, candidates: Sequen
 
     The weights enter as one array value, so the compiled plan is the same for every call.
     """
-    table = F.array(*[F.array(*[F.lit(float(w)) for w in cand]) for cand in candidates])
+    table = array_literal([list(c) for c in candidates])
     tried = df.select(y, *cols, F.posexplode(table).alias("cand", "w"))
     pred = argmax_of([F.col(c) * F.get(F.col("w"), F.lit(i)) for i, c in enumerate(cols)])
     recall = tried.groupBy("cand", y).agg(F.avg((pred == F.col(y)).cast("double")).alias("recall")).collect()
