@@ -136,12 +136,12 @@ def binned(df: DataFrame, columns: Sequence[str], q: int = 10) -> DataFrame:
 
 def mutual_info(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Mutual information with the target in nats, from joint counts of discrete columns."""
-    cell = long_values(df, columns, [y], "string").groupBy("column", "value", y).agg(row_count().alias("n"))
+    lv = long_values(df, columns, [y], "string").withColumn("value", F.coalesce("value", F.lit("<MISSING>")))
+    cell = lv.groupBy("column", "value", y).agg(row_count().alias("n"))
     x = cell.groupBy("column", "value").agg(F.sum("n").alias("nx"))
     t = cell.groupBy("column", y).agg(F.sum("n").alias("ny"))
     total = cell.groupBy("column").agg(F.sum("n").alias("size"))
-    value_eq = cell["value"].eqNullSafe(x["value"]) & (cell["column"] == x["column"])
-    j = cell.join(x, value_eq).select(cell["column"], y, "n", "nx").join(t, ["column", y]).join(total, "column")
+    j = cell.join(x, ["column", "value"]).join(t, ["column", y]).join(total, "column")
     p = F.col("n") / F.col("size")
     return j.groupBy("column").agg(F.sum(p * F.log(F.col("n") * F.col("size") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
