@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.expr import col, row_count, safe_div
@@ -78,27 +78,31 @@ def vocab_overlap(train: DataFrame, test: DataFrame, text: str) -> DataFrame:
 # ---- TF-IDF ------------------------------------------------------------------------------------
 
 
-def word_terms(text, accents: bool = True) -> Column:
-    """Lower-cased word unigrams and bigrams."""
-    t = F.lower(col(text))
-    w = F.regexp_extract_all(strip_accents(t) if accents else t, F.lit(WORD), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+def bigrams(w: Column) -> Column:
+    """Neighbouring words joined by a space, as a zip of the list with its own tail."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def word_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    t = df.select(id_col, F.explode(word_terms(text)).alias("term"))
-    return t.groupBy(id_col, "term").agg(row_count().alias("tf"))
+def word_counts(df: DataFrame, id_col: str, text: str, accents: bool = True) -> DataFrame:
+    """Term counts of lower-cased word unigrams and bigrams per document."""
+    t = F.lower(F.col(text))
+    w = df.select(id_col, F.regexp_extract_all(strip_accents(t) if accents else t, F.lit(WORD), F.lit(0)).alias("w"))
+    terms = w.select(id_col, F.explode(F.concat(F.col("w"), bigrams(F.col("w")))).alias("term"))
+    return terms.groupBy(id_col, "term").agg(row_count().alias("tf"))
 
 
 def char_counts(df: DataFrame, id_col: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
     """Character n-grams inside padded words; equal words of a text are counted before they are cut up."""
     tok = df.select(id_col, F.explode(words(F.lower(F.col(text)))).alias("t")).groupBy(id_col, "t").agg(row_count().alias("n"))
     padded = tok.select(id_col, "n", F.concat(F.lit(PADDING), "t", F.lit(PADDING)).alias("w"))
-    grams = []
-    for size in range(low, high + 1):
+
+    def cut(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("w") - size + 1, F.lit(1)))
-        grams.append(F.when(F.length("w") >= size, F.transform(starts, lambda i, s=size: F.substring(F.col("w"), i, F.lit(s)))).otherwise(F.array().cast("array<string>")))
+        pieces = F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(size)))
+        return F.when(F.length("w") >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+    grams = [cut(n) for n in range(low, high + 1)]
     g = padded.select(id_col, "n", F.explode(F.concat(*grams)).alias("term"))
     return g.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
@@ -117,8 +121,9 @@ def tfidf(tf: DataFrame, df_table: DataFrame, id_col: str, n_docs: int) -> DataF
     """(1 + ln tf) * (ln((1+n)/(1+df)) + 1), each document scaled to unit length: (id, term, weight)."""
     raw = tf.join(df_table, "term").select(
         id_col, "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # the window holds the distinct terms of one document, which was one input row
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def svd_embed(weights: DataFrame, df_table: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -176,7 +181,8 @@ def parse_turns(cell) -> Column:
     def turn(x: Column) -> Column:
         return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.lit(""))
 
-    scalar = F.coalesce(F.try_variant_get(v, "$", "string"), c)
+    # a bare JSON string is unquoted, any other value keeps its text
+    scalar = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(c)
     return F.when(v.isNotNull() & is_list, F.coalesce(F.transform(cells, turn), F.array().cast("array<string>"))).otherwise(F.array(scalar))
 
 
