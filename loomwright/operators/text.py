@@ -21,6 +21,7 @@ from loomwright.plans.scan import row_numbers
 
 TURN_SEPARATOR = "\n\n"
 PADDING = " "
+DENSE_TERMS = 4096  # widest Gram matrix held on the driver (128 MB)
 
 
 def build_field(text, keyword=None, light: bool = False) -> Column:
@@ -140,7 +141,12 @@ def svd_embed(weights: DataFrame, df_table: DataFrame, id_col: str, k: int) -> D
     rows = coords.groupBy(id_col).agg(as_vector(F.collect_list(F.struct("idx", "weight"))).alias("v"))
     k = min(k, n_terms - 1)
     matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.fromML(r["v"])), numCols=n_terms)
-    v = np.asarray(matrix.computeSVD(k, computeU=False).V.toArray())
+    if n_terms <= DENSE_TERMS:
+        # one pass: the terms-by-terms Gram matrix, its leading eigenvectors on the driver
+        _, vec = np.linalg.eigh(np.asarray(matrix.computeGramianMatrix().toArray()))
+        v = vec[:, ::-1][:, :k]
+    else:
+        v = np.asarray(matrix.computeSVD(k, computeU=False).V.toArray())
     spark = weights.sparkSession
     load = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "idx int, l array<double>")
     parts = coords.join(load, "idx").select(id_col, *[(F.col("weight") * F.get("l", F.lit(j))).alias(f"c{j}") for j in range(v.shape[1])])

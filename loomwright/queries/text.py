@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as FT
 from loomwright.operators import text as T
+from loomwright.plans.store import cut
 from loomwright.queries.history import rounded
 from loomwright.queries.registry import query
 from loomwright.sources import table
@@ -179,8 +180,8 @@ def txt_tfidf_char(spark, d):
 def txt_svd(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
     tf = T.word_counts(doc, "doc_id", "text")
-    vocab = T.document_frequency(tf, 3, 2000).persist()
-    weights = T.tfidf(tf, vocab, "doc_id", doc.count()).persist()
+    vocab = cut(T.document_frequency(tf, 3, 2000))
+    weights = cut(T.tfidf(tf, vocab, "doc_id", doc.count()))
     out = T.svd_embed(weights, vocab, "doc_id", 16)
     return out.select("doc_id", *[F.get("v", F.lit(i)).alias(f"svd_{i}") for i in range(16)])
 
