@@ -37,7 +37,8 @@ def pr_curve(df: DataFrame, keys: Sequence[str], score: str = "score", y: str =
     """Precision and recall at every distinct threshold."""
     hits = cumulative_hits(df, keys, score, y)
     total = df.groupBy(*keys).agg(F.sum(F.col(y).cast("long")).alias("P"))
-    return hits.join(total, list(keys)).select(
+    joined = hits.join(total, list(keys)) if keys else hits.withColumn("P", F.lit(total.first()["P"]))
+    return joined.select(
         *keys, F.col(score).alias("threshold"), safe_div("tp", F.col("tp") + F.col("fp")).alias("precision"),
         safe_div("tp", "P").alias("recall"), "tp", "fp", "P")
 

@@ -17,6 +17,7 @@ from loomwright.session import group_row_limit
 
 _HOT = "__hot"
 _CHUNK = "__chunk"
+_CUT = "__cut"
 _LOOK = object()  # "find the hot keys yourself"
 
 
@@ -147,10 +148,10 @@ def lookback_windows(
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in build(w).items()])
     size = max(limit, 2 * depth)
-    marked = _mark_hot(df, keys, hot)
+    marked = _mark_hot(df, keys, hot).withColumnRenamed(_HOT, _CUT)
     pos = row_numbers(marked, keys, order, "__pos", chunk_on=chunk_on, limit=limit, hot=hot)
-    block = F.when(F.col(_HOT), F.floor((F.col("__pos") - 1) / size)).otherwise(F.lit(0)).cast("long")
-    feeds_next = F.col(_HOT).isNotNull() & (((F.col("__pos") - 1) % size) >= size - depth)
+    block = F.when(F.col(_CUT), F.floor((F.col("__pos") - 1) / size)).otherwise(F.lit(0)).cast("long")
+    feeds_next = F.col(_CUT).isNotNull() & (((F.col("__pos") - 1) % size) >= size - depth)
     spread = (
         pos.withColumn("__own", block)
         .withColumn(
@@ -160,4 +161,4 @@ def lookback_windows(
     )
     w = Window.partitionBy(*keys, "__block").orderBy(*order)
     out = spread.select("*", *[c.alias(n) for n, c in build(w).items()])
-    return out.filter(F.col("__own") == F.col("__block")).drop("__own", "__block", "__pos", _HOT)
+    return out.filter(F.col("__own") == F.col("__block")).drop("__own", "__block", "__pos", _CUT)

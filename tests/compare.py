@@ -81,7 +81,13 @@ def main(names):
     sf = "/root/testdata/sf0.01"
     if names and names[0].startswith("--sf="):
         sf = "/root/testdata/sf" + names.pop(0)[5:]
+    limit = None
+    if names and names[0].startswith("--limit="):
+        limit = names.pop(0)[8:]
     spark, con = local_session(), duck(sf)
+    if limit:
+        # every group above this many rows takes the chunked forms
+        spark.conf.set("spark.loomwright.groupRowLimit", limit)
     queries, oracle = entry.queries(), entry.oracle_sql()
     pick = [q for q in queries if not names or any(q == n or (n.endswith("*") and q.startswith(n[:-1])) for n in names)]
     failed = []
