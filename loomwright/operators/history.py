@@ -180,11 +180,12 @@ def cooccurrence(df: DataFrame, row_key: str, label: str, labels: Sequence) -> D
         raise ValueError("the label list is a fixed vocabulary of at most 256 entries")
     names = [f"y{i}" for i in range(len(labels))]
     wide = df.groupBy(row_key).agg(*[F.max((F.col(label) == v).cast("int")).alias(n) for n, v in zip(names, labels)])
-    cells = [
-        F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), F.sum(F.col(names[i]) * F.col(names[j])).alias("n"))
-        for i, a in enumerate(labels) for j, b in enumerate(labels) if i < j
-    ]
-    return wide.agg(F.array(*cells).alias("m")).select(F.inline("m")).filter("n > 0")
+    # one row per label a row carries, summed against the whole 0/1 vector: K x K sums, no pairs are emitted
+    carried = wide.select(*names, F.explode(F.array(*[F.when(F.col(n) == 1, F.lit(i)) for i, n in enumerate(names)])).alias("a"))
+    table = carried.filter("a is not null").groupBy("a").agg(*[F.sum(n).alias(n) for n in names])
+    long = table.select("a", F.posexplode(F.array(*names)).alias("b", "n")).filter("a < b and n > 0")
+    name_of = F.array(*[F.lit(v) for v in labels])
+    return long.select(F.get(name_of, F.col("a")).alias("label_a"), F.get(name_of, F.col("b")).alias("label_b"), "n")
 
 
 def label_cardinality(df: DataFrame, row_key: str, label: str) -> DataFrame:

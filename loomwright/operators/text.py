@@ -19,7 +19,10 @@ from loomwright.functions.text import (
 from loomwright.plans.quantile import column_quantiles
 from loomwright.plans.scan import row_numbers
 
+# fixed values: turn separator, field marks and prompt lines
 TURN_SEPARATOR = "\n\n"
+FIELD_MARKS = ("Prompt: ", "Response A: ", "Response B: ")
+PROMPT_LINES = ("Keyword: ", "Tweet: ", "\nAnswer (1 or 0):")
 PADDING = " "
 DENSE_TERMS = 4096  # widest Gram matrix held on the driver (128 MB)
 
@@ -113,9 +116,8 @@ def document_frequency(tf: DataFrame, min_df: int, max_features: int | None = No
     per = tf.groupBy("term").agg(row_count().alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features is None:
         return per.select("term", "df")
-    # the distributed top-n: numbered in order, chunked beyond the group limit
-    ranked = row_numbers(per, [], [F.desc("total"), F.col("term")], "__n", chunk_on=F.col("total"), descending=True)
-    return ranked.filter(F.col("__n") <= max_features).select("term", "df")
+    # max_features bounds the vocabulary, so this is an ordinary top-n
+    return per.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
 
 
 def tfidf(tf: DataFrame, df_table: DataFrame, id_col: str, n_docs: int) -> DataFrame:
@@ -213,8 +215,8 @@ def pack_fields(prompt, a, b, max_len: int) -> Column:
         return head_tail(words(F.concat(F.lit(mark), col(text))), budget)
 
     sep = F.array(F.lit("[SEP]"))
-    packed = F.concat(F.array(F.lit("[CLS]")), part("Prompt: ", prompt, p_room), sep, part("Response A: ", a, r_room), sep,
-                      part("Response B: ", b, r_room), sep)
+    packed = F.concat(F.array(F.lit("[CLS]")), part(FIELD_MARKS[0], prompt, p_room), sep, part(FIELD_MARKS[1], a, r_room), sep,
+                      part(FIELD_MARKS[2], b, r_room), sep)
     return F.slice(packed, 1, max_len)
 
 
@@ -235,8 +237,8 @@ def parse_label(reply) -> Column:
 
 def prompt_message(keyword, text) -> Column:
     k = F.replace(F.coalesce(col(keyword), F.lit("")), F.lit("%20"), F.lit(" "))
-    head = F.when(k != "", F.concat(F.lit("Keyword: "), k, F.lit("\n"))).otherwise(F.lit(""))
-    return F.concat(head, F.lit("Tweet: "), col(text), F.lit("\nAnswer (1 or 0):"))
+    head = F.when(k != "", F.concat(F.lit(PROMPT_LINES[0]), k, F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(head, F.lit(PROMPT_LINES[1]), col(text), F.lit(PROMPT_LINES[2]))
 
 
 def token_budget(df: DataFrame, text: str, probs: Sequence[float]) -> DataFrame:

@@ -55,13 +55,13 @@ def txt_clean_full(spark, d):
     return decorated(spark, d).select("doc_id", FT.clean_full("text").alias("clean"))
 
 
-_KW = "CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'suicide%20bomber%C3%A9+' || page_id::VARCHAR || '%2F' || regexp_extract(url, '//([^/?#]+)', 1) END"
+_KW = "CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'forest%20fire%C3%A9+' || page_id::VARCHAR || '%2F' || regexp_extract(url, '//([^/?#]+)', 1) END"
 
 
 @query("txt_url_decode", f"SELECT page_id, coalesce(url_decode({_KW}), '') AS keyword FROM pages")
 def txt_url_decode(spark, d):
     host = F.regexp_extract("url", "//([^/?#]+)", 1)
-    kw = F.when(C("page_id") % 5 != 0, F.concat(F.lit("suicide%20bomber%C3%A9+"), C("page_id").cast("string"), F.lit("%2F"), host))
+    kw = F.when(C("page_id") % 5 != 0, F.concat(F.lit("forest%20fire%C3%A9+"), C("page_id").cast("string"), F.lit("%2F"), host))
     return table(spark, d, "pages").select("page_id", FT.url_unquote(kw).alias("keyword"))
 
 
@@ -135,9 +135,9 @@ def txt_last_token(spark, d):
                                           T.last_part(F.concat_ws("_", "p_type", "p_brand"), "_").alias("last_piece"))
 
 
-@query("txt_format_id", "SELECT n_nationkey, 'nips4b_birds_testfile' || lpad(n_nationkey::VARCHAR, 4, '0') || '.wav_classnumber_' || n_regionkey::VARCHAR AS label_id FROM nation")
+@query("txt_format_id", "SELECT n_nationkey, 'clip_' || lpad(n_nationkey::VARCHAR, 4, '0') || '_class_' || n_regionkey::VARCHAR AS label_id FROM nation")
 def txt_format_id(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.format_string("nips4b_birds_testfile%04d.wav_classnumber_%d", "n_nationkey", "n_regionkey").alias("label_id"))
+    return table(spark, d, "nation").select("n_nationkey", F.format_string("clip_%04d_class_%d", "n_nationkey", "n_regionkey").alias("label_id"))
 
 
 _VOC = f"SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{_WS}')) AS token FROM"
