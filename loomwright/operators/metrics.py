@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.expr import clip, clip_low, col, first_max_index, row_count, safe_div
-from loomwright.operators.windows import average_rank, cumulative_hits
+from loomwright.operators.windows import average_rank, cumulative_hits, score_counts
 from loomwright.plans.scan import running
 
 EPS = 1e-15
@@ -18,7 +18,7 @@ EPS = 1e-15
 def roc_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
     """Rank-sum AUC on score-grouped counts, ties averaged; one-class groups give NULL."""
     keys = list(keys)
-    counts = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), row_count().alias("n"))
+    counts = score_counts(df, keys, score, y)
     cum = running(counts, keys, [F.col(score)], sums={"cum": F.col("n")})
     sums = cum.groupBy(*keys).agg(
         F.sum("pos").alias("P"), F.sum("n").alias("T"),

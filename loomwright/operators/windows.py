@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.expr import row_count
 from loomwright.plans.quantile import group_quantiles
 from loomwright.plans.scan import hot_keys, lookback_windows, running
+from loomwright.plans.store import cut
 
 
 def micros(ts: str) -> Column:
@@ -90,7 +91,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Counts per value are scanned in value order, so nothing as large as the rows is ever sorted in one task.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(row_count().alias("n"))
+    counts = cut(df.groupBy(*keys, value).agg(row_count().alias("n")))
     cum = running(counts, keys, [F.col(value)], sums={"__cum": F.col("n")})
     return cum.withColumn("rank", F.col("__cum") - (F.col("n") - 1) / 2.0).drop("__cum")
 
@@ -102,9 +103,14 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "ran
     return df.join(ranks, [*keys, value], "left")
 
 
+def score_counts(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
+    """Positives and rows per distinct score, written once: the size check and the scan both read it."""
+    return cut(df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), row_count().alias("n")))
+
+
 def cumulative_hits(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
     """Cumulative true and false positives by descending score, one row per distinct score."""
     keys = list(keys)
-    counts = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), row_count().alias("n"))
+    counts = score_counts(df, keys, score, y)
     return running(counts, keys, [F.col(score).desc()], chunk_on=F.col(score), descending=True,
                    sums={"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})

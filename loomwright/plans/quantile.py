@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.plans.scan import hot_keys, running
+from loomwright.plans.store import cut
 
 
 def group_quantiles(
@@ -22,7 +23,7 @@ def group_quantiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
     if hot_keys(rows, keys, limit) is None:
         return rows.groupBy(*keys).agg(*[F.percentile("__v", p).alias(n) for n, p in probs.items()])
-    counts = rows.filter(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut(rows.filter(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
     cum = running(counts, keys, [F.col("__v")], sums={"__cum": F.col("__n")}, limit=limit)
     if keys:
         joined = cum.join(counts.groupBy(*keys).agg(F.sum("__n").alias("__size")), keys)

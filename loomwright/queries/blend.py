@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.expr import flag, row_count
 from loomwright.operators import blend as B
 from loomwright.operators import metrics as M
+from loomwright.plans.store import cut
 from loomwright.queries.fixtures import CLASS_RUNS, SCORES, SCORES_WIDE, class_runs, class_runs_long, scores, scores_wide
 from loomwright.queries.history import rounded
 from loomwright.queries.metrics_decide import auc_sql
@@ -59,7 +60,7 @@ _GRID = f"(SELECT i / 20.0::DOUBLE AS weight, y, fold, (i / 20.0::DOUBLE) * a +
   SELECT 'all' AS part, weight, round(auc, 10) AS auc FROM g UNION ALL SELECT 'fold' || fold::VARCHAR, weight, round(auc, 10) FROM f JOIN b USING (weight)""")
 def bl_grid_weight(spark, d):
     w = scores_wide(spark, d)
-    grid = B.grid_weight(w, "a", "b", "y")
+    grid = cut(B.grid_weight(w, "a", "b", "y"))
     best = B.best_weight(grid)
     blend = w.select("fold", "y", (F.lit(best) * C("a") + F.lit(1.0 - best) * C("b")).alias("score"))
     folds = M.roc_auc(blend, ["fold"]).select(F.concat(F.lit("fold"), C("fold").cast("string")).alias("part"), F.lit(best).alias("weight"), "auc")

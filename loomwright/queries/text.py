@@ -179,7 +179,7 @@ def txt_tfidf_char(spark, d):
 @query("txt_svd")
 def txt_svd(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
-    tf = T.word_counts(doc, "doc_id", "text")
+    tf = cut(T.word_counts(doc, "doc_id", "text"))
     vocab = cut(T.document_frequency(tf, 3, 2000))
     weights = cut(T.tfidf(tf, vocab, "doc_id", doc.count()))
     out = T.svd_embed(weights, vocab, "doc_id", 16)
