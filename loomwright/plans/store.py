@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    A session in one process (``local[n]``) that names none gets a folder of its own, once; a cluster must name one,
+    since a driver's local folder is not what executors see.
+    """
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if base:
         return base
-    if not getattr(shared_dir, "_local", None):
-        shared_dir._local = tempfile.mkdtemp(prefix="loomwright-")
-    return shared_dir._local
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    base = own_dir()
+    spark.conf.set(CHECKPOINT_DIR, base)
+    return base
+
+
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    """A folder for sessions in one process; it goes when the process ends."""
+    base = tempfile.mkdtemp(prefix="loomwright-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
