@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, mixing, records, secret_scan
+from loomwright.llm import bpe, forest, mixing, neardup, records, secret_scan, warc
 from loomwright.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -45,4 +45,18 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op7_bpe, op10_records)}
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(table, table.filter("vec_id % 20 = 0"), 20)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(warc.write(_table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op5_neighbours, op7_bpe, op8_warc, op9_neardup, op10_records)}
