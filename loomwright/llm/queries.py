@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, forest, mixing, neardup, records, secret_scan, warc
+from loomwright.llm import bpe, forest, mixing, neardup, records, secret_scan, substrings, warc
 from loomwright.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,11 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return short.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return forest.nearest(table, table.filter("vec_id % 20 = 0"), 20)
@@ -59,4 +64,4 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op5_neighbours, op7_bpe, op8_warc, op9_neardup, op10_records)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op4_substrings, op5_neighbours, op7_bpe, op8_warc, op9_neardup, op10_records)}
