@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, forest, mixing, neardup, records, secret_scan, substrings, warc
+from loomwright.llm import bpe, forest, jaccard, mixing, neardup, records, secret_scan, substrings, toxicity, warc
 from loomwright.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,12 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).drop("text")
     both = bpe.decode(coded, BYTE_BPE)
@@ -45,6 +51,10 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = substrings.dedup(_table(spark, sf_dir, "documents"))
     return short.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,4 +74,4 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op4_substrings, op5_neighbours, op7_bpe, op8_warc, op9_neardup, op10_records)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op3_jaccard, op4_substrings, op5_neighbours, op6_toxicity, op7_bpe, op8_warc, op9_neardup, op10_records)}
