@@ -35,9 +35,9 @@ class Dealer:
 
     def __init__(self, parts: int, kind: str = "<u8", width: int = 1):
         self.parts, self.kind, self.width = parts, kind, width
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.hashes, self.positions, self.owners, self.lengths, self.held = [], [], [], [], 0
 
     def add(self, hashes: np.ndarray, positions: np.ndarray, owner: tuple[int, ...]) -> bool:
@@ -68,7 +68,7 @@ class Dealer:
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
             a, b = begin[i], begin[j] if j < len(begin) else len(part)
             rows.append((int(of[i]), hashes[a:b].astype(self.kind).tobytes(), planes(positions[a:b]), names[owner[begin[i:j]]].tobytes(), size[i:j].tobytes()))
-        self._clear()
+        self.clear()
         for at in range(0, len(rows), 256):
             yield batch_of(rows[at:at + 256])
 

@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.dealing import SCHEMA, Dealer, brought_together, from_planes, gathered, part_of, parts_for, starts_of
+from loomwright.llm.dealing import SCHEMA, TEXT_A_PART, Dealer, batch_of, brought_together, from_planes, gathered, part_of, parts_for, starts_of
 from loomwright.llm.graph import components
-from loomwright.llm.words import WordHashes, shingle_set, slices
+from loomwright.llm.words import Rolling, WordHashes, shingle_set, slices
 from loomwright.plans.store import cut, release
 
 SHINGLE, ROUNDS = 5, 2
-#: A shingle in more documents than ``COMMON`` and than one ``MOST_COMMON``th of all shingles goes last: at most so many do.
+#: A shingle in more documents than ``COMMON`` and than one ``MOST_COMMON``th of the bytes of all texts goes last.
 COMMON, MOST_COMMON = 64, 1 << 20
 #: Bits of a parity sketch, and rows of a column that are compared at a time.
 SKETCH_BITS, BLOCK = 2048, 512
@@ -54,30 +54,13 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
 
 def _sets(batches, shingle: int):
     """(row values without the text, shingle set) of all rows; the text is the last column."""
-    hashes = WordHashes()
+    hashes, rolling = WordHashes(), Rolling()
     for batch in slices(batches):
         for *keys, body in zip(*[c.to_pylist() for c in batch.columns]):
-            yield keys, shingle_set(hashes.of(body.lower().split() if body else []), shingle)
+            yield keys, shingle_set(hashes.of(body.lower().split() if body else []), shingle, rolling)
 
 
-def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, class): class is NULL without shingles."""
-
-    def run(batches):
-        rows = []
-        for (doc,), s in _sets(batches, shingle):
-            rows.append((doc, len(s), _fingerprint(s) if len(s) else None))
-            if len(rows) == 4096:
-                yield _batch(rows, HEAD)
-                rows = []
-        if rows:
-            yield _batch(rows, HEAD)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary")
-
-
-HEAD = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary())]
+HEAD = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("code", pa.int64())]
 TOKEN = [("token", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("at", pa.int32())]
 SET = [("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.binary()), ("sketch", pa.binary())]
 
@@ -86,24 +69,31 @@ def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
-def _common(docs: DataFrame, text: str, parts: int, shingle: int, total: int) -> np.ndarray:
-    """Sorted codes (part and lower 32 bits) of very common shingles, from counts over all documents."""
-    limit = max(COMMON, total // MOST_COMMON)
+def _heads_and_common(docs: DataFrame, text: str, parts: int, shingle: int, limit: int) -> DataFrame:
+    """Two kinds of rows from one pass over all texts: (doc_id, n_shingles, class) of every document, and the codes
+    (part and lower 32 bits) of shingles that are in more than ``limit`` documents."""
 
     def deal(batches):
-        dealer = Dealer(parts, "<u4")
+        dealer, heads, turn = Dealer(parts, "<u4"), [], 0
 
         def counted():
-            hashes, number = np.unique(np.concatenate(dealer.hashes), return_counts=True)
-            dealer._clear()
-            dealer.add(hashes, number.astype(np.int32), (0,))
-            return dealer.flush()
+            nonlocal heads, turn
+            if dealer.held:
+                hashes, number = np.unique(np.concatenate(dealer.hashes), return_counts=True)
+                dealer.clear()
+                dealer.add(hashes, number.astype(np.int32), (0,))
+                yield from dealer.flush()
+            if heads:
+                doc, n, name = zip(*heads)
+                known = np.array([d is not None for d in doc])
+                yield batch_of([(turn % parts, b"", np.array([d or 0 for d in doc], "<i8").tobytes() + known.tobytes(), np.array(n, "<i8").tobytes(), b"".join(name))])
+                heads, turn = [], turn + 1
 
-        for _, s in _sets(batches, shingle):
+        for (doc,), s in _sets(batches, shingle):
+            heads.append((doc, len(s), _fingerprint(s)))
             if dealer.add(s, s, (0,)):
                 yield from counted()
-        if dealer.held:
-            yield from counted()
+        yield from counted()
 
     def often(batches):
         last, held = None, []
@@ -114,23 +104,27 @@ def _common(docs: DataFrame, text: str, parts: int, shingle: int, total: int) ->
             order = np.argsort(hashes, kind="stable")
             hashes, number = hashes[order], number[order]
             begin = starts_of(hashes)
-            many = np.add.reduceat(number.astype(np.int64), begin) > limit
-            return pa.RecordBatch.from_arrays([pa.array((np.int64(last) << 32) | hashes[begin][many].astype(np.int64), pa.int64())], ["code"])
+            codes = hashes[begin][np.add.reduceat(number.astype(np.int64), begin) > limit].astype(np.int64) | np.int64(last) << 32
+            return _batch([(None, None, None, c) for c in codes.tolist()], HEAD) if len(codes) else None
 
         for batch in batches:
-            for part, *message in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, hashes, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+                if not hashes:
+                    doc, n, name = rest[0], np.frombuffer(rest[1], "<i8").tolist(), rest[2]
+                    ids, known = np.frombuffer(doc[:8 * len(n)], "<i8").tolist(), doc[8 * len(n):]
+                    yield _batch([(i if k else None, m, name[16 * r:16 * r + 16] if m else None, None) for r, (i, k, m) in enumerate(zip(ids, known, n))], HEAD)
+                    continue
                 if part != last and held:
-                    yield found()
+                    if (rows := found()) is not None:
+                        yield rows
                     held = []
                 last = part
-                held.append(message)
-        if held:
-            yield found()
+                held.append((hashes, *rest))
+        if held and (rows := found()) is not None:
+            yield rows
 
-    source = docs.select(F.col(text).cast("binary").alias("body"))
-    codes = brought_together(source.mapInArrow(deal, SCHEMA), parts).mapInArrow(often, "code bigint")
-    # fewer than MOST_COMMON: each stands for more than one MOST_COMMONth of all shingles
-    return np.sort(codes.toArrow().column(0).to_numpy())
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    return brought_together(source.mapInArrow(deal, SCHEMA), parts).mapInArrow(often, "doc_id bigint, n_shingles bigint, class binary, code bigint")
 
 
 def _ordered(s: np.ndarray, parts: int, common: np.ndarray) -> np.ndarray:
@@ -164,9 +158,7 @@ def _tokens(docs: DataFrame, text: str, parts: int, shingle: int, common: np.nda
             fresh = np.ones(len(hashes), bool)
             fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:, :2] != owners[:-1, :2]).any(axis=1)
             hashes, at, owners = hashes[fresh], at[fresh], owners[fresh]
-            begin = starts_of(hashes)
-            size = np.diff(np.concatenate([begin, [len(hashes)]]))
-            keep = np.flatnonzero(np.repeat(size, size) > 1)
+            keep = np.flatnonzero(_with_partner(hashes, owners[:, 2], at))
             for i in range(0, len(keep), 1 << 16):
                 k = keep[i:i + (1 << 16)]
                 raw = np.ascontiguousarray(owners[k, :2], "<i8")
@@ -178,6 +170,25 @@ def _tokens(docs: DataFrame, text: str, parts: int, shingle: int, common: np.nda
     return brought_together(source.mapInArrow(deal, SCHEMA), parts).mapInArrow(several, "token bigint, class binary, n int, at int")
 
 
+def _with_partner(tokens: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that the size and position bounds let link with another row of their token; all rows of very common tokens."""
+    begin = starts_of(tokens)
+    size = np.diff(np.concatenate([begin, [len(tokens)]]))
+    size = np.repeat(size, size)
+    has = size > COMMON
+    left = n - at
+    for step in range(1, COMMON):
+        i = np.flatnonzero(tokens[step:] == tokens[:-step]) if len(tokens) > step else np.empty(0, np.int64)
+        i = i[size[i] <= COMMON]
+        if not len(i):
+            break
+        j = i + step
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (5 * small >= 4 * large) & (np.minimum(left[i], left[j]) >= -(-4 * (small + large) // 9))
+        has[i[ok]] = has[j[ok]] = True
+    return has
+
+
 def _may_link(x: str, y: str) -> Column:
     """Size bound and position bound of two rows at a shared column, taken as their first."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
@@ -305,16 +316,16 @@ def _block_pairs(held: list[pa.RecordBatch]):
 def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
-    heads = cut(classes(docs, text, shingle))
-    whole = heads.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    total = heads.agg(F.sum("n_shingles")).first()[0] or 0
     parts = parts_for(docs, text)
-    common = _common(docs, text, parts, shingle, total)
+    limit = max(COMMON, parts * TEXT_A_PART // MOST_COMMON)
+    first_pass = cut(_heads_and_common(docs, text, parts, shingle, limit))
     release(spark)
+    heads = first_pass.filter("code is null").drop("code")
+    whole = heads.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    # at most MOST_COMMON: each stands for more shingles than a MOST_COMMONth of the text has bytes
+    common = np.sort(first_pass.filter("code is not null").select("code").toArrow().column(0).to_numpy())
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
-    can = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & _may_link("x", "y"), "left_semi")
-    tokens = cut(can)
     wanted = whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null")
     rows = cut(_rows_of(docs, text, shingle, wanted))
     release(spark)

@@ -20,7 +20,7 @@ _MASK = (1 << 64) - 1
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a fixed number of words."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 20):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -71,30 +71,20 @@ class Rolling:
         return mix((prefix[width:] - prefix[:n]) * self._down[:n])
 
 
-def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
+def shingle_set(hashes: np.ndarray, width: int, rolling: Rolling) -> np.ndarray:
     """Sorted distinct hashes of all ``width``-word shingles; a shorter text is one shingle."""
     n = len(hashes)
     if not n:
         return hashes
-    span = min(width, n)
-    count = n - span + 1
-    h = np.full(count, span, np.uint64)
-    for k in range(span):
-        h = mix(h * np.uint64(_BASE) + hashes[k:k + count])
+    h = rolling.windows(rolling.prefix(hashes), min(width, n))
+    if n < width:
+        return mix(h + np.uint64(n))
     h.sort()
-    keep = np.ones(count, bool)
+    keep = np.ones(len(h), bool)
     np.not_equal(h[1:], h[:-1], out=keep[1:])
     return h[keep]
 
 
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-
-
-def text_bytes(value: bytes | None) -> bytes:
-    return b"" if value is None else bytes(value)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that few whole texts are held as Python objects at a time."""
     for batch in batches:
