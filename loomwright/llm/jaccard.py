@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.dealing import SCHEMA, TEXT_A_PART, Dealer, batch_of, brought_together, from_planes, gathered, part_of, parts_for, starts_of
+from loomwright.llm.dealing import SCHEMA, Dealer, batch_of, brought_together, from_planes, gathered, part_of, parts_for, starts_of
 from loomwright.llm.graph import components
 from loomwright.llm.words import Rolling, WordHashes, shingle_set, slices
 from loomwright.plans.store import cut, release
 
 SHINGLE, ROUNDS = 5, 2
-#: A shingle in more documents than ``COMMON`` and than one ``MOST_COMMON``th of the bytes of all texts goes last.
-COMMON, MOST_COMMON = 64, 1 << 20
+#: The most common shingles, ``MOST_COMMON`` at most, go last; rows of a token that are compared without blocks.
+MOST_COMMON, SMALL = 1 << 20, 64
 #: Bits of a parity sketch, and rows of a column that are compared at a time.
 SKETCH_BITS, BLOCK = 2048, 512
 
@@ -60,7 +60,7 @@ def _sets(batches, shingle: int):
             yield keys, shingle_set(hashes.of(body.lower().split() if body else []), shingle, rolling)
 
 
-HEAD = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("code", pa.int64())]
+HEAD = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("code", pa.int64()), ("documents", pa.int64())]
 TOKEN = [("token", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("at", pa.int32())]
 SET = [("class", pa.binary()), ("n", pa.int32()), ("shingles", pa.binary()), ("sketch", pa.binary())]
 
@@ -69,9 +69,9 @@ def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
-def _heads_and_common(docs: DataFrame, text: str, parts: int, shingle: int, limit: int) -> DataFrame:
+def _heads_and_counts(docs: DataFrame, text: str, parts: int, shingle: int) -> DataFrame:
     """Two kinds of rows from one pass over all texts: (doc_id, n_shingles, class) of every document, and the codes
-    (part and lower 32 bits) of shingles that are in more than ``limit`` documents."""
+    (part and lower 32 bits) of shingles that are in more than two documents, with their number."""
 
     def deal(batches):
         dealer, heads, turn = Dealer(parts, "<u4"), [], 0
@@ -104,27 +104,37 @@ def _heads_and_common(docs: DataFrame, text: str, parts: int, shingle: int, limi
             order = np.argsort(hashes, kind="stable")
             hashes, number = hashes[order], number[order]
             begin = starts_of(hashes)
-            codes = hashes[begin][np.add.reduceat(number.astype(np.int64), begin) > limit].astype(np.int64) | np.int64(last) << 32
-            return _batch([(None, None, None, c) for c in codes.tolist()], HEAD) if len(codes) else None
+            documents = np.add.reduceat(number.astype(np.int64), begin)
+            many = documents > 2
+            codes = pa.array(hashes[begin][many].astype(np.int64) | np.int64(last) << 32)
+            none = [pa.nulls(len(codes), k) for _, k in HEAD[:3]]
+            return pa.RecordBatch.from_arrays([*none, codes, pa.array(documents[many])], [n for n, _ in HEAD])
 
         for batch in batches:
             for part, hashes, *rest in zip(*[c.to_pylist() for c in batch.columns]):
                 if not hashes:
                     doc, n, name = rest[0], np.frombuffer(rest[1], "<i8").tolist(), rest[2]
                     ids, known = np.frombuffer(doc[:8 * len(n)], "<i8").tolist(), doc[8 * len(n):]
-                    yield _batch([(i if k else None, m, name[16 * r:16 * r + 16] if m else None, None) for r, (i, k, m) in enumerate(zip(ids, known, n))], HEAD)
+                    yield _batch([(i if k else None, m, name[16 * r:16 * r + 16] if m else None, None, None) for r, (i, k, m) in enumerate(zip(ids, known, n))], HEAD)
                     continue
                 if part != last and held:
-                    if (rows := found()) is not None:
-                        yield rows
+                    yield found()
                     held = []
                 last = part
                 held.append((hashes, *rest))
-        if held and (rows := found()) is not None:
-            yield rows
+        if held:
+            yield found()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    return brought_together(source.mapInArrow(deal, SCHEMA), parts).mapInArrow(often, "doc_id bigint, n_shingles bigint, class binary, code bigint")
+    return brought_together(source.mapInArrow(deal, SCHEMA), parts).mapInArrow(often, "doc_id bigint, n_shingles bigint, class binary, code bigint, documents bigint")
+
+
+def _common(counts: DataFrame) -> np.ndarray:
+    """Sorted codes of the shingles in most documents: above the least power of two that leaves ``MOST_COMMON`` at most."""
+    limits = [2**k for k in range(1, 63)]
+    row = counts.agg(*[F.count(F.when(F.col("documents") > n, 1)).alias(str(n)) for n in limits]).first()
+    limit = next(n for n in limits if row[str(n)] <= MOST_COMMON)
+    return np.sort(counts.filter(F.col("documents") > limit).select("code").toArrow().column(0).to_numpy())
 
 
 def _ordered(s: np.ndarray, parts: int, common: np.ndarray) -> np.ndarray:
@@ -175,11 +185,11 @@ def _with_partner(tokens: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarr
     begin = starts_of(tokens)
     size = np.diff(np.concatenate([begin, [len(tokens)]]))
     size = np.repeat(size, size)
-    has = size > COMMON
+    has = size > SMALL
     left = n - at
-    for step in range(1, COMMON):
+    for step in range(1, SMALL):
         i = np.flatnonzero(tokens[step:] == tokens[:-step]) if len(tokens) > step else np.empty(0, np.int64)
-        i = i[size[i] <= COMMON]
+        i = i[size[i] <= SMALL]
         if not len(i):
             break
         j = i + step
@@ -317,13 +327,11 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     parts = parts_for(docs, text)
-    limit = max(COMMON, parts * TEXT_A_PART // MOST_COMMON)
-    first_pass = cut(_heads_and_common(docs, text, parts, shingle, limit))
+    first_pass = cut(_heads_and_counts(docs, text, parts, shingle))
     release(spark)
-    heads = first_pass.filter("code is null").drop("code")
+    heads = first_pass.filter("code is null").select("doc_id", "n_shingles", "class")
     whole = heads.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    # at most MOST_COMMON: each stands for more shingles than a MOST_COMMONth of the text has bytes
-    common = np.sort(first_pass.filter("code is not null").select("code").toArrow().column(0).to_numpy())
+    common = _common(first_pass.filter("code is not null"))
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
     wanted = whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null")
