@@ -137,14 +137,19 @@ def _common(counts: DataFrame) -> np.ndarray:
     return np.sort(counts.filter(F.col("documents") > limit).select("code").toArrow().column(0).to_numpy())
 
 
-def _ordered(s: np.ndarray, parts: int, common: np.ndarray) -> np.ndarray:
-    """A row's shingles in the order of all rows: the common ones last, each half by hash."""
+def _leading(s: np.ndarray, parts: int, common: np.ndarray) -> np.ndarray:
+    """The first columns of a row in the order of all rows: the common ones last, each half by hash."""
+    want = prefix_size(len(s))
     if not len(common):
-        return s
-    code = part_of(s, parts).astype(np.int64) << 32 | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    place = np.searchsorted(common, code)
-    last = common[np.minimum(place, len(common) - 1)] == code
-    return np.concatenate([s[~last], s[last]])
+        return s[:want]
+    for upto in sorted({min(len(s), 2 * want), len(s)}):
+        some = s[:upto]
+        code = part_of(some, parts).astype(np.int64) << 32 | (some & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        last = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] == code
+        rare = some[~last]
+        if len(rare) >= want:
+            return rare[:want]
+    return np.concatenate([rare, some[last]])[:want]
 
 
 def _tokens(docs: DataFrame, text: str, parts: int, shingle: int, common: np.ndarray) -> DataFrame:
@@ -155,7 +160,7 @@ def _tokens(docs: DataFrame, text: str, parts: int, shingle: int, common: np.nda
         dealer = Dealer(parts, "<u8", width=3)
         for _, s in _sets(batches, shingle):
             if len(s):
-                lead = _ordered(s, parts, shared.value)[:prefix_size(len(s))]
+                lead = _leading(s, parts, shared.value)
                 a, b = np.frombuffer(_fingerprint(s), "<i8").tolist()
                 if dealer.add(lead, np.arange(len(lead), dtype=np.int32), (a, b, len(s))):
                     yield from dealer.flush()
@@ -232,6 +237,21 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> Dat
     return found.dropDuplicates(["class"])
 
 
+def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that differ in no more bits of their sketches than a link may have shingles apart."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (4, 5))
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= n // 9))
+
+    one = rows.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = rows.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose overlap, counted in full, makes a link."""
 
@@ -247,8 +267,11 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     keep.append(100 * both >= 80 * (len(s) + len(t) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = rows.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    two = rows.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    pairs = cut(pairs)
+    in_use = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    full = rows.join(in_use, "class", "left_semi")
+    one = full.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    two = full.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
@@ -339,7 +362,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     release(spark)
     links, groups, open_ = None, None, tokens.withColumn("group", F.col("class"))
     for turn in range(ROUNDS):
-        found = cut(_linked(_one_each(open_, turn), rows))
+        found = cut(_linked(_close(_one_each(open_, turn), rows), rows))
         links = found if links is None else links.unionByName(found)
         groups = components(links)
         open_ = cut(_grouped(tokens, groups))
