@@ -12,9 +12,10 @@ NULL and empty texts have no ids and decode to the empty text. Ids are bytes: li
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from loomwright.llm.words import slices
 #: Last bytes of non-ASCII white space characters in UTF-8 (fixed values).
 _SPACE_ENDS = [0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)]
 #: Fragments remembered in a task, and bytes of text that are cut at a time.
-REMEMBERED, AT_A_TIME = 600_000, 1 << 20
+REMEMBERED, AT_A_TIME = 1_000_000, 1 << 20
 
 
 def load(path: str):
@@ -90,13 +91,50 @@ class Pieces:
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self.known) > REMEMBERED:  # what came first is what comes often
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        new = list({p for pieces in texts for p in pieces if p not in self.known})
+        new = list(set(chain.from_iterable(texts)).difference(self.known))
         for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            done = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, done))
+            self.learn(new[at:at + 4096])
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in texts]
 
+    def learn(self, pieces: list[bytes]) -> None:
+        done = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(pieces, done))
+
+
+class Words(Pieces):
+    """Pieces for a vocabulary with word ends, whose tokenizer drops white space: the pieces are words.
+
+    A word of plain letters is one unit of the pre-tokenizer, with a mark behind it two, and each unit ends in a token
+    with the word-end suffix. So many such words are encoded as one text and parted at these tokens; others one by one.
+    """
+
+    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
+
+    def __init__(self, tokenizer, kind: str = "<u4"):
+        super().__init__(tokenizer, kind)
+        self.suffix = tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if self.suffix:
+            for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(self.suffix)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        texts = [p.decode() for p in pieces]
+        marks = [self.PLAIN.fullmatch(t) if self.suffix else None for t in texts]
+        super().learn([p for p, m in zip(pieces, marks) if not m])
+        plain = [k for k, m in enumerate(marks) if m]
+        for at in range(0, len(plain), 512):
+            some = plain[at:at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 + bool(marks[k][1]) for k in some]) - 1
+            if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
+                super().learn([pieces[k] for k in some])
+                continue
+            until = (ends[last] * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            self.known.update((pieces[k], raw[i:j]) for k, i, j in zip(some, [0, *until[:-1]], until))
+
 
 @lru_cache(maxsize=2)
 def shared(path: str, kind: str = "<u4") -> tuple[Pieces, np.ndarray]:
@@ -105,6 +143,11 @@ def shared(path: str, kind: str = "<u4") -> tuple[Pieces, np.ndarray]:
     return Pieces(tokenizer, kind), cut_table(tokenizer)
 
 
+@lru_cache(maxsize=2)
+def shared_words(path: str, kind: str = "<u4") -> Words:
+    return Words(load(path), kind)
+
+
 def in_portions(values: list[bytes | None], most: int = AT_A_TIME) -> Iterator[list[bytes]]:
     portion, size = [], 0
     for v in values:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "part int, hashes binary, positions binary, owners binary, counts binary"
 #: Entries gathered before they are written, and bytes of text a part stands for.
-GATHERED, TEXT_A_PART = 1 << 20, 24 << 20
+GATHERED, TEXT_A_PART = 1 << 20, 10 << 20
 
 
 def parts_for(docs: DataFrame, text: str = "text") -> int:

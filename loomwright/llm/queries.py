@@ -47,7 +47,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write(_table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
-    back = records.placed(spark, manifest)
+    back = records.read(manifest)
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -18,11 +18,10 @@ from io import BytesIO
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.bpe import in_portions, shared
+from loomwright.llm.bpe import in_portions, shared_words
 from loomwright.llm.files import attempt_name, fresh_path, open_in, open_out, spread
 from loomwright.llm.words import slices
 from loomwright.plans.store import cut
@@ -74,7 +73,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
         pieces = None
         for batch in slices(batches):
             if out is None:
-                pieces, _ = shared(tokenizer_path, "<u4")
+                pieces = shared_words(tokenizer_path)
                 wide = pieces.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
                 path = attempt_name(base, TaskContext.get().partitionId(), ".rec")
                 out, index = open_out(path), open_out(path + ".idx")
@@ -105,15 +104,20 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
     return cut(ordered.mapInArrow(run, MANIFEST))
 
 
-ROWS = "doc_id bigint, part int, position bigint, start_in_part bigint, ids binary"
+ROWS = "doc_id bigint, part int, position bigint, start bigint, ids binary"
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """All records of the files in order: (doc_id, part, position, start_in_part, ids), ids as 32-bit numbers."""
+    """All records of the files: (doc_id, part, position, start, ids), ids as 32-bit numbers.
+
+    ``start`` counts the ids of all records before, over all files (the sums run over one manifest row a file).
+    """
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def run(batches):
         for batch in batches:
-            for part, path, kind, n_records, n_ids, size in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, path, kind, n_records, n_ids, size, earlier in zip(*[c.to_pylist() for c in batch.columns]):
                 with open_in(path + ".idx") as s:
                     index = np.frombuffer(s.read(), "<i8").reshape(-1, 2)
                 if len(index) != n_records or int(index[:, 1].sum()) != n_ids:
@@ -132,7 +136,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         ids = np.frombuffer(data, kind, offset=9).astype("<u4")
                         if len(ids) != index[k, 1]:
                             raise ValueError(f"{path}: record {k} has another length than the index says")
-                        rows.append((name if known else None, part, k, int(starts[k]), ids.tobytes()))
+                        rows.append((name if known else None, part, k, earlier + int(starts[k]), ids.tobytes()))
                         held += len(data)
                         if held > 4 << 20:
                             yield _batch(rows)
@@ -142,14 +146,14 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return spread(manifest, manifest.count()).mapInArrow(run, ROWS)
+    return spread(files, manifest.count()).mapInArrow(run, ROWS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d, e = zip(*rows)
     return pa.RecordBatch.from_arrays(
         [pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.binary())],
-        ["doc_id", "part", "position", "start_in_part", "ids"])
+        ["doc_id", "part", "position", "start", "ids"])
 
 
 def fetch(path: str, positions: list[int], kind: str = "<u2") -> list[np.ndarray]:
@@ -159,10 +163,3 @@ def fetch(path: str, positions: list[int], kind: str = "<u2") -> list[np.ndarray
     with open_in(path) as s:
         body = s.read()
     return [np.frombuffer(read_frame(BytesIO(body[index[k, 0]:]), path), kind, offset=9) for k in positions]
-
-
-def placed(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """All records with ``start``: the ids of all records before, over all files (one manifest row a file)."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    return read(manifest).join(files, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before", "start_in_part")
