@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "part int, hashes binary, positions binary, owners binary, counts binary"
@@ -116,3 +117,54 @@ def brought_together(messages: DataFrame, parts: int) -> DataFrame:
 def starts_of(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1]) if len(values) else np.empty(0, np.int64)
+
+
+REPLY = "part int, positions binary, owners binary, counts binary"
+
+
+def home(doc: Column, parts: int) -> Column:
+    """The part to which answers about a document go; ``replies`` says the same in numpy."""
+    return F.shiftright(F.shiftrightunsigned(F.xxhash64(doc), 32) * F.lit(parts).cast("long"), 32).cast("int")
+
+
+def replies(owners: np.ndarray, positions: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Positions of owners (first column: the document) in one message for each part."""
+    if not len(positions):
+        return
+    docs, of = np.unique(owners[:, 0], return_inverse=True)
+    # Spark's xxhash64 of a bigint is XXH64 of its eight bytes with seed 42
+    hashed = np.array([xxhash.xxh64_intdigest(d.tobytes(), 42) for d in docs.astype("<i8")], np.uint64)
+    part = part_of(hashed, parts)[of]
+    order = np.lexsort((positions, *owners.T[::-1], part))
+    owners, positions, part = owners[order], positions[order].astype("<i4"), part[order]
+    begin = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (owners[1:] != owners[:-1]).any(axis=1)) + 1])
+    size = np.diff(np.concatenate([begin, [len(part)]])).astype("<i4")
+    of = part[begin]
+    edge = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+    rows = []
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        a, b = begin[i], begin[j] if j < len(begin) else len(part)
+        rows.append((int(of[i]), planes(positions[a:b]), owners[begin[i:j]].astype("<i8").tobytes(), size[i:j].tobytes()))
+    names = ["part", "positions", "owners", "counts"]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names)
+
+
+class Answers:
+    """The replies of one part, by owner."""
+
+    def __init__(self, width: int = 1):
+        self.width, self.raw, self.by = width, [], None
+
+    def add(self, positions: bytes, owners: bytes, counts: bytes) -> None:
+        self.raw.append((from_planes(positions), np.frombuffer(owners, "<i8").reshape(-1, self.width), np.frombuffer(counts, "<i4")))
+
+    def of(self, owner: tuple[int, ...]) -> np.ndarray | None:
+        if self.by is None:
+            self.by = {}
+            for positions, owners, counts in self.raw:
+                ends = np.cumsum(counts).tolist()
+                for name, i, j in zip(map(tuple, owners.tolist()), [0, *ends[:-1]], ends):
+                    self.by.setdefault(name, []).append(positions[i:j])
+            self.raw = []
+        found = self.by.get(owner)
+        return None if found is None else np.concatenate(found)

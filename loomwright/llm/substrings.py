@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.dealing import SCHEMA, Dealer, brought_together, gathered, parts_for, starts_of
+from loomwright.llm.dealing import REPLY, SCHEMA, Answers, Dealer, brought_together, gathered, home, parts_for, replies, starts_of
 from loomwright.llm.words import Rolling, WordHashes, slices
 from loomwright.plans.store import cut, release
 
@@ -39,12 +39,11 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col(text).cast("binary").alias("body"))
     hits = cut(_hits(_messages(source, parts, window, block), parts, block))
     release(docs.sparkSession)
-    marked = cut(_marked(source, hits, window, block))
+    marked = cut(_marked(source, hits, parts, window, block))
     release(docs.sparkSession)
     repeats = _repeats(marked.filter("starts is not null"), parts, window)
-    texts = marked.filter("starts is not null").select("doc", "twin", F.lit(1).alias("role"), "body", F.lit(None).cast("binary").alias("at"))
-    both = texts.unionByName(repeats.select("doc", "twin", F.lit(0).alias("role"), F.lit(None).cast("binary").alias("body"), "at"))
-    shortened = both.repartition("doc", "twin").sortWithinPartitions("doc", "twin", "role").mapInArrow(_shorten(window), DONE)
+    texts = marked.filter("starts is not null").select(home(F.col("doc"), parts).alias("part"), F.lit(1).alias("role"), "doc", "twin", "body")
+    shortened = _with_answers(texts, repeats, parts).mapInArrow(_shorten(window), DONE)
     plain = marked.filter("starts is null").select(F.col("doc").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("body").alias("kept"))
     return plain.unionByName(shortened).withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
@@ -66,7 +65,7 @@ def _messages(source: DataFrame, parts: int, window: int, block: int) -> DataFra
 
 
 def _hits(messages: DataFrame, parts: int, block: int) -> DataFrame:
-    """(doc, at): positions, as packed int32, of blocks and windows that another document shares."""
+    """Positions of blocks and windows that another document shares."""
 
     def run(batches):
         for hashes, positions, owners in gathered(batches, "<u4"):
@@ -77,54 +76,47 @@ def _hits(messages: DataFrame, parts: int, block: int) -> DataFrame:
             first = np.minimum.reduceat(np.where(anchor, doc, LAST), begin)
             last = np.maximum.reduceat(doc, begin)
             hit = np.flatnonzero((doc > first[group]) | (anchor & (doc < last[group])))
-            yield from _by_owner(owners[hit], positions[hit], ["doc"])
+            yield from replies(owners[hit], positions[hit], parts)
 
-    return brought_together(messages, parts).mapInArrow(run, "doc bigint, at binary")
+    return brought_together(messages, parts).mapInArrow(run, REPLY)
 
 
-def _by_owner(owners: np.ndarray, positions: np.ndarray, names: list[str]):
-    """One row for each owner, with its positions."""
-    if not len(positions):
-        return
-    order = np.lexsort(owners.T[::-1])
-    owners, positions = owners[order], positions[order].astype("<i4")
-    edges = np.concatenate([[0], np.flatnonzero((owners[1:] != owners[:-1]).any(axis=1)) + 1, [len(owners)]])
-    for at in range(0, len(edges) - 1, 4096):
-        some = edges[at:at + 4097]
-        at_ = [positions[i:j].tobytes() for i, j in zip(some[:-1].tolist(), some[1:].tolist())]
-        own = owners[some[:-1]]
-        yield pa.RecordBatch.from_arrays([*[pa.array(own[:, k], pa.int64()) for k in range(own.shape[1])], pa.array(at_, pa.binary())], [*names, "at"])
+def _with_answers(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """Texts and the answers about them, part by part, the answers first."""
+    none = {c: F.lit(None).cast("binary") for c in ("positions", "owners", "counts")}
+    asked = answers.withColumn("role", F.lit(0))
+    both = texts.withColumns(none).unionByName(asked, allowMissingColumns=True)
+    return both.repartition(parts, "part").sortWithinPartitions("part", "role")
 
 
-def _marked(source: DataFrame, hits: DataFrame, window: int, block: int) -> DataFrame:
+def _marked(source: DataFrame, hits: DataFrame, parts: int, window: int, block: int) -> DataFrame:
     """Every row once: with ``starts`` (ranges of window starts to look at), or finished, its body then the kept words."""
-    texts = source.select("doc", F.lit(1).alias("role"), "body", F.lit(None).cast("binary").alias("at"))
-    both = texts.unionByName(hits.select("doc", F.lit(0).alias("role"), F.lit(None).cast("binary").alias("body"), "at"))
+    texts = source.select(home(F.col("doc"), parts).alias("part"), F.lit(1).alias("role"), "doc", "body")
 
     def run(batches):
-        doc, found = None, []
+        part, found = None, Answers()
         for batch in slices(batches):
             out = []
-            for key, role, body, at in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != doc:
-                    doc, found = key, []
+            for where, role, doc, body, *answer in zip(*[c.to_pylist() for c in batch.columns]):
+                if where != part:
+                    part, found = where, Answers()
                 if role == 0:
-                    found.append(np.frombuffer(at, "<i4"))
+                    found.add(*answer)
                     continue
                 words = body.split() if body else []
                 n = len(words)
-                ranges = _ranges(np.concatenate(found), n, window, block) if found and n >= window else None
-                if ranges is None or not len(ranges):
-                    out.append((key, 0, n, b" ".join(words), None))
+                hit = found.of((doc,)) if n >= window else None
+                if hit is None:
+                    out.append((doc, 0, n, b" ".join(words), None))
                 else:
-                    out.append((key, xxhash.xxh3_64_intdigest(body) - (1 << 63), n, body, ranges.astype("<i4").tobytes()))
+                    out.append((doc, xxhash.xxh3_64_intdigest(body) - (1 << 63), n, body, _ranges(hit, n, window, block).astype("<i4").tobytes()))
             if out:
                 a, b, c, d, e = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary()), pa.array(e, pa.binary())],
                     ["doc", "twin", "n_words", "body", "starts"])
 
-    return both.repartition("doc").sortWithinPartitions("doc", "role").mapInArrow(run, "doc bigint, twin bigint, n_words bigint, body binary, starts binary")
+    return _with_answers(texts, hits, parts).mapInArrow(run, "doc bigint, twin bigint, n_words bigint, body binary, starts binary")
 
 
 def _ranges(hits: np.ndarray, n: int, window: int, block: int) -> np.ndarray:
@@ -138,7 +130,7 @@ def _ranges(hits: np.ndarray, n: int, window: int, block: int) -> np.ndarray:
 
 
 def _repeats(marked: DataFrame, parts: int, window: int) -> DataFrame:
-    """(doc, twin, at): starts of windows that also start in a smaller document."""
+    """Starts of windows that also start in a smaller document."""
 
     def deal(batches):
         hashes, rolling, dealer = WordHashes(), Rolling(), Dealer(parts, "<u8", width=2)
@@ -155,27 +147,26 @@ def _repeats(marked: DataFrame, parts: int, window: int) -> DataFrame:
             begin = starts_of(hashes)
             group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(hashes)]])))
             later = np.flatnonzero(owners[:, 0] > np.minimum.reduceat(owners[:, 0], begin)[group])
-            yield from _by_owner(owners[later], positions[later], ["doc", "twin"])
+            yield from replies(owners[later], positions[later], parts)
 
     messages = marked.select("doc", "twin", "body", "starts").mapInArrow(deal, SCHEMA)
-    return brought_together(messages, parts).mapInArrow(smallest, "doc bigint, twin bigint, at binary")
+    return brought_together(messages, parts).mapInArrow(smallest, REPLY)
 
 
 def _shorten(window: int):
     def run(batches):
-        owner, found = None, []
+        part, found = None, Answers(2)
         for batch in slices(batches):
             out = []
-            for doc, twin, role, body, at in zip(*[c.to_pylist() for c in batch.columns]):
-                if (doc, twin) != owner:
-                    owner, found = (doc, twin), []
+            for where, role, doc, twin, body, *answer in zip(*[c.to_pylist() for c in batch.columns]):
+                if where != part:
+                    part, found = where, Answers(2)
                 if role == 0:
-                    found.append(np.frombuffer(at, "<i4"))
+                    found.add(*answer)
                     continue
                 words = body.split()
                 change = np.zeros(len(words) + 1, np.int32)
-                if found:
-                    starts = np.concatenate(found)
+                if (starts := found.of((doc, twin))) is not None:
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + window, -1)
                 gone = np.cumsum(change)[:-1] > 0
