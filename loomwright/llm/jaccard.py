@@ -21,6 +21,9 @@ sequence is one. Rows with NULL doc_id join classes but give them no id. Rows th
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.dealing import SCHEMA, Dealer, batch_of, brought_together, from_planes, gathered, part_of, parts_for, starts_of
 from loomwright.llm.graph import components
 from loomwright.llm.words import Rolling, WordHashes, shingle_set, slices
-from loomwright.plans.store import cut, release
+from loomwright.plans.store import cut, fresh_path, release
 
 SHINGLE, ROUNDS = 5, 2
 #: The most common shingles, ``MOST_COMMON`` at most, go last; rows of a token that are compared without blocks.
@@ -233,8 +236,19 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> Dat
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
     some = source.join(wanted, "doc_id").select("class", "body")
-    found = some.mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
-    return found.dropDuplicates(["class"])
+    return some.mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
+
+
+@contextmanager
+def _by_class(rows: DataFrame, parts: int):
+    """The rows, once a class, in a table in buckets by class: joins by class then move the pairs, not the sets."""
+    spark, name = rows.sparkSession, f"loomwright_rows_{uuid.uuid4().hex}"
+    once = rows.repartition(parts, "class").dropDuplicates(["class"])
+    once.write.bucketBy(parts, "class").sortBy("class").option("path", fresh_path(spark, "rows")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
 
 
 def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -267,11 +281,8 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     keep.append(100 * both >= 80 * (len(s) + len(t) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs)
-    in_use = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    full = rows.join(in_use, "class", "left_semi")
-    one = full.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    two = full.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    one = rows.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    two = rows.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
@@ -346,6 +357,18 @@ def _block_pairs(held: list[pa.RecordBatch]):
                 [pa.array([name[i] if f else name[k] for f, k in zip(flip, j)], pa.binary()), pa.array([name[k] if f else name[i] for f, k in zip(flip, j)], pa.binary())], ["a", "b"])
 
 
+def _joined_groups(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root) of the classes that links join."""
+    links, groups, open_ = None, None, tokens.withColumn("group", F.col("class"))
+    for turn in range(ROUNDS):
+        found = cut(_linked(_close(_one_each(open_, turn), rows), rows))
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+        open_ = cut(_grouped(tokens, groups))
+    found = cut(_linked(_left_over(open_, rows), rows))
+    return groups if found.isEmpty() else components(links.unionByName(found))
+
+
 def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -358,17 +381,9 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
     wanted = whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null")
-    rows = cut(_rows_of(docs, text, shingle, wanted))
-    release(spark)
-    links, groups, open_ = None, None, tokens.withColumn("group", F.col("class"))
-    for turn in range(ROUNDS):
-        found = cut(_linked(_close(_one_each(open_, turn), rows), rows))
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
-        open_ = cut(_grouped(tokens, groups))
-    found = cut(_linked(_left_over(open_, rows), rows))
-    if not found.isEmpty():
-        groups = components(links.unionByName(found))
+    with _by_class(_rows_of(docs, text, shingle, wanted), parts) as rows:
+        release(spark)
+        groups = _joined_groups(tokens, rows)
     release(spark)
     named = cut(whole.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")))
     first = named.groupBy("root").agg(F.min("first").alias("component"))
