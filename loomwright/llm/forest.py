@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees.
 
-Each tree halves a bounded sample of the vectors (the first ``SAMPLE`` by a hash of their ids) along the difference of
+Each tree halves a bounded sample of the vectors (about ``SAMPLE`` by a hash of their ids) along the difference of
 two sampled vectors, at the median, down to leaves of about ``LEAF`` sampled vectors. Every vector of the table is then
 put into one leaf of each tree. A query walks all trees at once with one priority queue: a node waits with the smallest
 margin on the way to it, the most promising node of any tree is opened next, until enough leaves are reached. The
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.sampling import about
 from loomwright.llm.vectors import matrix, packed, row_dots, runs, stored_kind, unpacked, usable
 from loomwright.plans.store import cut
 
@@ -108,7 +109,7 @@ def nearest(
         return usable(df, vector).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
 
     rows, asked = vectors(table), vectors(queries).dropDuplicates(["id"])
-    first = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    first = about(rows, sample, "id").orderBy("id").select("v").toArrow().column(0).combine_chunks()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(first):
         return spark.createDataFrame([], result)

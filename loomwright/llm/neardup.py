@@ -1,6 +1,6 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one vector kept a group.
 
-Cell centres are fitted on a bounded sample (the first ``SAMPLE`` vectors by a hash of their ids). Every vector lives in
+Cell centres are fitted on a bounded sample (about ``SAMPLE`` vectors by a hash of their ids). Every vector lives in
 its nearest cell and visits the next ones whose similarity is within ``MARGIN`` of it, ``VISITS`` at most, so that a
 pair which the border of two cells parts is still found from either side. In a cell all visitors and residents are
 compared with all residents, block by block; no pair is written. A pair that both sides find is counted in the lower of
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.graph import components
+from loomwright.llm.sampling import about
 from loomwright.llm.vectors import matrix, packed, row_dots, runs, unpacked, usable
 from loomwright.plans.store import cut
 
@@ -55,7 +56,7 @@ def groups(
     n = rows.count()
     if n < 2:
         return numbered.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    first = unit(matrix(rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()))
+    first = unit(matrix(about(rows, sample, "id").orderBy("id").select("v").toArrow().column(0).combine_chunks()))
     cells = max(1, min(MOST_CELLS, len(first) // 4, -(-n // per_cell)))
     centres = spark.sparkContext.broadcast(kmeans(first, cells))
 

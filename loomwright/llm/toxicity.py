@@ -9,8 +9,8 @@ models are trained in numpy on random halves, each by full-batch gradients of th
     prior * mean_P[loss(+g)] + max(0, mean_U[loss(-g)] - prior * mean_P[loss(-g)]),
 
 the logistic loss and the class prior from the labels; where the second term is negative its gradient is walked back.
-The mean of their probabilities is the score. Samples are bounded: the first ``POSITIVES`` and ``UNLABELLED`` rows by a
-hash of the id; the vocabulary is bounded by ``WORDS``. All rows are scored.
+The mean of their probabilities is the score. Samples are bounded: about ``POSITIVES`` and ``UNLABELLED`` rows by a hash
+of the id; the vocabulary is bounded by ``WORDS``. All rows are scored.
 
 NULL and empty texts have no words and score what the bias says. Without a positive every score is the prior's. Rows
 that share a doc_id share a label: toxic if one label says so. Result columns replace columns of the same name.
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.llm.sampling import about
 from loomwright.llm.words import slices
 
 POSITIVES, UNLABELLED, WORDS, LEAST_POSITIVES = 3000, 9000, 8192, 3
@@ -139,16 +140,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"] or 0.0
     pool = docs.select(F.col("doc_id"), F.col(text).alias("text")).filter("text is not null").filter(~held_out(F.col("doc_id")))
-    order = [F.xxhash64(F.lit(17), F.col("doc_id")), F.col("doc_id")]
 
-    def sample(df: DataFrame, most: int) -> list[set[str]]:
-        chosen = df.orderBy(*order).limit(most).select("text").mapInArrow(_word_lists, "words array<string>")
-        return [set(r) for r in chosen.toArrow().column(0).to_pylist()]
+    def words(df: DataFrame) -> list[set[str]]:
+        return [set(r) for r in df.select("text").mapInArrow(_word_lists, "words array<string>").toArrow().column(0).to_pylist()]
 
-    toxic = marks.filter("toxic = 1").orderBy(F.xxhash64(F.lit(17), F.col("__id")), "__id").limit(POSITIVES)
-    # at most POSITIVES ids: of a proven size
-    positive = sample(pool.join(F.broadcast(toxic.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi"), POSITIVES)
-    return train(positive, sample(pool, UNLABELLED), share)
+    toxic = about(marks.filter("toxic = 1"), POSITIVES, "__id")
+    # about POSITIVES ids and twice as many at most: of a proven size
+    positive = pool.join(F.broadcast(toxic.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi").limit(2 * POSITIVES)
+    return train(words(positive), words(about(pool, UNLABELLED, "doc_id")), share)
 
 
 def _word_lists(batches):

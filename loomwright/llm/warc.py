@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.files import attempt_name, fresh_path, open_in, open_out, spread
+from loomwright.llm.sampling import about
 from loomwright.llm.words import slices
 from loomwright.plans.store import cut
 
 REVISIT_AT_LEAST = 1000
-#: Pages that the dictionary is trained on: the first by a hash of their ids; bytes of each, and of the dictionary.
+#: Pages that the dictionary is trained on, about so many by a hash of their ids; bytes of each, and of the dictionary.
 SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 512, 16 << 10, 32 << 10
 #: Format constants (fixed values).
 SKIPPABLE = 0x184D2A5D
@@ -49,8 +50,8 @@ def roles(pages: DataFrame) -> DataFrame:
 
 def train(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty where they are too few for one."""
-    chosen = pages.filter("html is not null").select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id").alias("h"))
-    samples = [r["html"].encode() for r in chosen.orderBy("h", "html").limit(SAMPLE_PAGES).select("html").collect()]
+    chosen = about(pages.filter("html is not null"), SAMPLE_PAGES, "page_id").select(F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    samples = sorted(r["html"].encode() for r in chosen.collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, threads=0).as_bytes()
     except zstandard.ZstdError:
