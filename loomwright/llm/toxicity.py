@@ -31,7 +31,7 @@ from loomwright.llm.sampling import about
 from loomwright.llm.words import slices
 
 POSITIVES, UNLABELLED, WORDS, LEAST_POSITIVES = 3000, 9000, 8192, 3
-MODELS, STEPS, RATE, DECAY, SMOOTH, SURE = 5, 200, 0.1, 2e-4, 0.5, 7.0
+MODELS, STEPS, RATE, DECAY, SMOOTH, SURE = 5, 200, 0.1, 2e-4, 0.5, 4.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -100,38 +100,40 @@ def fit_one(pos: _Rows, unl: _Rows, ratio: np.ndarray, prior: float) -> tuple[np
     return w[:width] * ratio, w[width]
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, seed: int = 3) -> Model:
+def train(positive: pa.ListArray, unlabelled: pa.ListArray, prior: float, seed: int = 3) -> Model:
+    """Models of two lists of documents, each the list of its distinct words."""
     prior = min(max(prior, 1e-3), 0.999)
-    if not positive or not unlabelled:
+    n_pos, n_unl = len(positive), len(unlabelled)
+    if not n_pos or not n_unl:
         return Model({}, np.full(1, np.log(prior / (1 - prior))))
-    df_p, df_u = _frequencies(positive), _frequencies(unlabelled)
-    common = [w for w, n in df_p.items() if n >= min(LEAST_POSITIVES, len(positive))]
-    rate_p = np.array([df_p[w] + SMOOTH for w in common]) / (len(positive) + 2 * SMOOTH)
-    rate_u = np.array([df_u.get(w, 0) + SMOOTH for w in common]) / (len(unlabelled) + 2 * SMOOTH)
-    ratio = np.log(rate_p / rate_u)
-    both = (rate_p * len(positive) + rate_u * len(unlabelled)) / (len(positive) + len(unlabelled))
-    sure = np.abs(rate_p - rate_u) / np.sqrt(both * (1 - both).clip(1e-9) * (1 / len(positive) + 1 / len(unlabelled)))
-    best = sorted((k for k in range(len(common)) if sure[k] >= SURE), key=lambda k: (-sure[k], common[k]))[:WORDS]
-    names, ratio = [common[k] for k in best], ratio[best] if best else np.empty(0)
-    place = {w: k for k, w in enumerate(names)}
-    rows = [[np.array(sorted(place[w] for w in place.keys() & d), np.int64) for d in docs] for docs in (positive, unlabelled)]
+    coded = pa.concat_arrays([positive.flatten(), unlabelled.flatten()]).dictionary_encode()
+    codes, split = coded.indices.to_numpy(), len(positive.flatten())
+    df_p, df_u = (np.bincount(c, minlength=len(coded.dictionary)) for c in (codes[:split], codes[split:]))
+    rate_p, rate_u = (df_p + SMOOTH) / (n_pos + 2 * SMOOTH), (df_u + SMOOTH) / (n_unl + 2 * SMOOTH)
+    both = (rate_p * n_pos + rate_u * n_unl) / (n_pos + n_unl)
+    sure = np.abs(rate_p - rate_u) / np.sqrt(both * (1 - both).clip(1e-9) * (1 / n_pos + 1 / n_unl))
+    known = np.flatnonzero((df_p >= min(LEAST_POSITIVES, n_pos)) & (sure >= SURE))
+    names = coded.dictionary.take(pa.array(known)).to_pylist()
+    order = sorted(range(len(known)), key=lambda k: (-sure[known[k]], names[k]))[:WORDS]
+    names, known = [names[k] for k in order], known[order]
+    ratio = np.log(rate_p[known] / rate_u[known])
+    place = np.full(len(coded.dictionary), -1)
+    place[known] = np.arange(len(known))
+    rows = [_known_words(place[c], docs) for c, docs in ((codes[:split], positive), (codes[split:], unlabelled))]
     rng = np.random.default_rng(seed)
     weights, bias = [], []
     for _ in range(MODELS):
-        halves = [_Rows([r[k] for k in sorted(rng.choice(len(r), max(1, len(r) * 2 // 3), replace=False))], len(names)) for r in rows]
-        w, b = fit_one(*halves, ratio, prior)
+        some = [_Rows([r[k] for k in sorted(rng.choice(len(r), max(1, len(r) * 2 // 3), replace=False))], len(names)) for r in rows]
+        w, b = fit_one(*some, ratio, prior)
         weights.append(w)
         bias.append(b)
     stacked = np.array(weights).T
     return Model({w: stacked[k] for k, w in enumerate(names)}, np.array(bias))
 
 
-def _frequencies(docs: list[set[str]]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for words in docs:
-        for w in words:
-            out[w] = out.get(w, 0) + 1
-    return out
+def _known_words(places: np.ndarray, docs: pa.ListArray) -> list[np.ndarray]:
+    ends = np.cumsum(docs.value_lengths().to_numpy())[:-1]
+    return [np.sort(part[part >= 0]) for part in np.split(places, ends)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
@@ -141,8 +143,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"] or 0.0
     pool = docs.select(F.col("doc_id"), F.col(text).alias("text")).filter("text is not null").filter(~held_out(F.col("doc_id")))
 
-    def words(df: DataFrame) -> list[set[str]]:
-        return [set(r) for r in df.select("text").mapInArrow(_word_lists, "words array<string>").toArrow().column(0).to_pylist()]
+    def words(df: DataFrame) -> pa.ListArray:
+        lists = df.select("text").mapInArrow(_word_lists, "words array<string>").toArrow().column(0)
+        return pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.string()))
 
     toxic = about(marks.filter("toxic = 1"), POSITIVES, "__id")
     # about POSITIVES ids and twice as many at most: of a proven size
