@@ -219,13 +219,15 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(class, n, shingles, sketch) of the wanted (doc_id, class)."""
+def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts: int) -> DataFrame:
+    """(class, n, shingles, sketch) of the wanted (doc_id, class), once a class. The texts go to the task of their class,
+    not the sets, which are several times as large."""
 
     def run(batches):
-        rows, held = [], 0
+        rows, held, seen = [], 0, set()
         for (name,), s in _sets(batches, shingle):
-            if len(s) and _fingerprint(s) == name:
+            if len(s) and name not in seen and _fingerprint(s) == name:
+                seen.add(name)
                 rows.append((name, len(s), s.astype("<u8").tobytes(), sketch(s)))
                 held += len(s)
             if held > 1 << 19:
@@ -235,16 +237,15 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> Dat
             yield _batch(rows, SET)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    some = source.join(wanted, "doc_id").select("class", "body")
+    some = source.join(wanted, "doc_id").select("class", "body").repartition(parts, "class")
     return some.mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
 
 
 @contextmanager
 def _by_class(rows: DataFrame, parts: int):
-    """The rows, once a class, in a table in buckets by class: joins by class then move the pairs, not the sets."""
+    """The rows in a table in buckets by class: joins by class then move the pairs, not the sets."""
     spark, name = rows.sparkSession, f"loomwright_rows_{uuid.uuid4().hex}"
-    once = rows.repartition(parts, "class").dropDuplicates(["class"])
-    once.write.bucketBy(parts, "class").sortBy("class").option("path", fresh_path(spark, "rows")).saveAsTable(name)
+    rows.write.bucketBy(parts, "class").sortBy("class").option("path", fresh_path(spark, "rows")).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
@@ -381,7 +382,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
     wanted = whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null")
-    with _by_class(_rows_of(docs, text, shingle, wanted), parts) as rows:
+    with _by_class(_rows_of(docs, text, shingle, wanted, parts), parts) as rows:
         release(spark)
         groups = _joined_groups(tokens, rows)
     release(spark)
