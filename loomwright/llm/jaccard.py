@@ -366,6 +366,7 @@ def _joined_groups(tokens: DataFrame, rows: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         groups = components(links)
         open_ = cut(_grouped(tokens, groups))
+        release(tokens.sparkSession)
     found = cut(_linked(_left_over(open_, rows), rows))
     return groups if found.isEmpty() else components(links.unionByName(found))
 
