@@ -7,6 +7,7 @@ counts per member, so every step is a fresh linear combination and no lineage bu
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -20,24 +21,28 @@ from loomwright.operators.windows import value_ranks
 
 
 def mean_score(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equal mean over runs (or folds, or seeds)."""
-    return long.groupBy(*keys).agg(F.avg("score").alias("score"))
+    """Equal mean over runs (or folds, or seeds); NULL where one of them has no score."""
+    return long.groupBy(*keys).agg(_if_whole(F.avg("score")).alias("score"))
+
+
+def _if_whole(value: Column) -> Column:
+    return F.when(F.count("score") == row_count(), value)
 
 
 def weighted_score(long: DataFrame, keys: Sequence[str], weights: dict[str, float]) -> DataFrame:
     total = sum(weights.values())
     w = reduce(lambda acc, kv: F.when(F.col("run") == kv[0], F.lit(kv[1] / total)).otherwise(acc), weights.items(), F.lit(0.0))
-    return long.groupBy(*keys).agg(F.sum(F.col("score") * w).alias("score"))
+    return long.groupBy(*keys).agg(_if_whole(F.sum(F.col("score") * w)).alias("score"))
 
 
 def ranked(long: DataFrame, by: Sequence[str], kind: str = "n") -> DataFrame:
-    """Scores replaced by average ranks within ``by``: rank/n, or (rank-1)/(n-1)."""
+    """Scores replaced by average ranks within ``by``: rank/n, or (rank-1)/(n-1); a missing score stays missing."""
     by = list(by)
-    r = value_ranks(long, by, "score")
+    r = value_ranks(long.filter(F.col("score").isNotNull()), by, "score")
     size = r.groupBy(*by).agg(F.sum("n").alias("size"))
     scale = F.col("rank") / F.col("size") if kind == "n" else F.try_divide(F.col("rank") - 1, (F.col("size") - 1).cast("double"))
     table = r.join(size, by).select(*by, "score", scale.alias("__r"))
-    return long.join(table, [*by, "score"]).drop("score").withColumnRenamed("__r", "score")
+    return long.join(table, [*by, "score"], "left").drop("score").withColumnRenamed("__r", "score")
 
 
 def rank_blend(long: DataFrame, by: Sequence[str], keys: Sequence[str], kind: str = "n", weights: dict[str, float] | None = None) -> DataFrame:
@@ -69,23 +74,41 @@ def combine(runs: Sequence[str], picks: dict[str, int], n_classes: int) -> list[
     ]
 
 
+@dataclass(frozen=True)
+class Ensemble:
+    """Members of a blend by their number of picks, its score, and the picks in order with the score after each."""
+
+    counts: tuple[int, ...]
+    score: float = float("-inf")
+    history: tuple[tuple[int, float], ...] = ()
+
+    def grown(self) -> list[tuple[int, ...]]:
+        """The counts after one more pick of each member."""
+        return [tuple(n + (i == j) for i, n in enumerate(self.counts)) for j in range(len(self.counts))]
+
+    def take(self, member: int, score: float) -> Ensemble:
+        return Ensemble(self.grown()[member], score, (*self.history, (member, score)))
+
+
+def gains_more_than(eps: float) -> Callable[[Ensemble, Ensemble], bool]:
+    """Stop rule: go on while a pick adds more than ``eps``."""
+    return lambda now, then: then.score - now.score > eps
+
+
 def hillclimb(
-    candidates_score: Callable[[list[dict[str, int]]], list[float]], runs: Sequence[str], steps: int = 60, eps: float = 1e-7
+    batch_scorer: Callable[[list[dict[str, int]]], list[float]], runs: Sequence[str], steps: int = 60,
+    worthwhile: Callable[[Ensemble, Ensemble], bool] = gains_more_than(1e-7),
 ) -> tuple[dict[str, int], float, list[tuple[int, str, float]]]:
-    """Greedy selection with repetition: each step scores all candidates in one job, stops on no gain."""
-    solo = candidates_score([{r: 1} for r in runs])
-    best = max(solo)
-    first = runs[solo.index(best)]
-    picks, trace = {first: 1}, [(1, first, best)]
-    for step in range(2, steps + 1):
-        trials = [{**picks, r: picks.get(r, 0) + 1} for r in runs]
-        scores = candidates_score(trials)
-        top = max(scores)
-        if top <= best + eps:
+    """Greedy selection with repetition from the empty blend; all candidates of a step are scored in one job."""
+    now = Ensemble((0,) * len(runs))
+    while len(now.history) < steps:
+        values = batch_scorer([{r: n for r, n in zip(runs, c) if n} for c in now.grown()])
+        then = now.take(*max(enumerate(values), key=lambda v: (v[1], -v[0])))
+        if now.history and not worthwhile(now, then):
             break
-        best, picks = top, trials[scores.index(top)]
-        trace.append((step, runs[scores.index(top)], top))
-    return picks, best, trace
+        now = then
+    order = [(at, runs[member], score) for at, (member, score) in enumerate(now.history, 1)]
+    return {r: n for r, n in zip(runs, now.counts) if n}, now.score, order
 
 
 def score_picks(wide: DataFrame, runs: Sequence[str], y: str, n_classes: int, metric: Callable[[list[Column], Column], Column],

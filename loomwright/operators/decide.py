@@ -194,11 +194,15 @@ def route(df: DataFrame, answers: DataFrame, id_col: str, first: str, second: st
 
 
 def repair_conflicts(df: DataFrame, text: str, label: str) -> DataFrame:
-    """Duplicate texts with conflicting labels take the majority label, a tie becomes 0."""
-    per = df.groupBy(text).agg(F.avg(F.col(label).cast("double")).alias("__m"), row_count().alias("__n"))
-    j = df.join(per, text)
-    mixed = (F.col("__n") > 1) & (F.col("__m") > 0) & (F.col("__m") < 1)
-    return j.withColumn(label, F.when(mixed, (F.col("__m") > 0.5).cast("int")).otherwise(F.col(label))).drop("__m", "__n")
+    """Duplicate texts with conflicting labels take the majority label, a tie becomes 0; rows without text keep theirs.
+
+    Texts are told apart by their SHA-256, so that votes and join move digests.
+    """
+    keyed = df.withColumn("__k", F.sha2(F.col(text).cast("binary"), 256))
+    vote = F.avg(F.col(label).cast("double"))
+    majority = (keyed.filter("__k is not null").groupBy("__k").agg(vote.alias("__m"))
+                .filter("__m > 0 and __m < 1").select("__k", (F.col("__m") > 0.5).cast("int").alias("__v")))
+    return keyed.join(majority, "__k", "left").withColumn(label, F.coalesce("__v", label)).drop("__k", "__v")
 
 
 def hierarchical(p1, p2) -> tuple[Column, Column, Column]:

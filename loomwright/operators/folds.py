@@ -57,8 +57,9 @@ def group_folds(df: DataFrame, group: str, k: int, max_heavy: int = 10_000) -> D
         placed[r[group]] = f
     spark = df.sparkSession
     table = spark.createDataFrame(
-        [(g, f) for g, f in placed.items()], f"{group} {dict(df.dtypes)[group]}, fold int")
-    top = sizes.join(F.broadcast(table), group)
+        [(g, f) for g, f in placed.items()], f"__g {dict(df.dtypes)[group]}, fold int")
+    # rows without a group are one group
+    top = sizes.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     tail = sizes.filter(F.col("n") < floor)
     rest = total - sum(loads)
     if rest == 0:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -199,40 +202,55 @@ def join_turns(turns) -> Column:
 
 
 def head_tail(tokens: Column, budget: int) -> Column:
-    """First and last tokens when a field exceeds its budget."""
-    head = budget // 2
-    tail = budget - head
-    return F.when(F.size(tokens) <= budget, tokens).otherwise(F.concat(F.slice(tokens, 1, head), F.slice(tokens, -tail, tail)))
-
-
-def pack_fields(prompt, a, b, max_len: int) -> Column:
-    """[CLS] prompt [SEP] a [SEP] b [SEP] with a quarter of the room for the prompt."""
-    room = max_len - 4
-    p_room = int(room * 0.25)
-    r_room = (room - p_room) // 2
-
-    def part(mark: str, text, budget: int) -> Column:
-        return head_tail(words(F.concat(F.lit(mark), col(text))), budget)
-
-    sep = F.array(F.lit("[SEP]"))
-    packed = F.concat(F.array(F.lit("[CLS]")), part(FIELD_MARKS[0], prompt, p_room), sep, part(FIELD_MARKS[1], a, r_room), sep,
-                      part(FIELD_MARKS[2], b, r_room), sep)
-    return F.slice(packed, 1, max_len)
-
-
-def parse_label(reply) -> Column:
-    """0/1 from a free reply: a label field, else the last lone digit, else key words, else NULL."""
-    s = F.trim(col(reply))
-    field = F.regexp_extract(s, r'"?label"?\s*[:=]\s*([01])', 1)
-    digits = F.regexp_extract_all(s, F.lit(r"\b([01])\b"), F.lit(1))
-    low = F.lower(s)
-    return (
-        F.when(s == "", F.lit(None).cast("int"))
-        .when(field != "", field.try_cast("int"))
-        .when(F.size(digits) > 0, F.try_element_at(digits, F.lit(-1)).try_cast("int"))
-        .when(F.contains(low, F.lit("not")) | F.contains(low, F.lit("non-disaster")) | F.contains(low, F.lit("no disaster")), 0)
-        .when(F.contains(low, F.lit("disaster")) | F.contains(low, F.lit("real")), 1)
-    )
+    """At most ``budget`` tokens: the first half of the budget, and what follows the gap that the rest leaves."""
+    half = budget // 2
+    resume = F.greatest(F.lit(half), F.size(tokens) - (budget - half))
+    return F.concat(F.slice(tokens, 1, half), F.slice(tokens, resume + 1, F.lit(budget - half)))
+
+
+def allotted(room: int, shares: Sequence[int]) -> list[int]:
+    """Places of each field by whole shares of the room, rounded down."""
+    return [room * s // sum(shares) for s in shares]
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field of a packed sequence: the mark before it, its text and its share of the room."""
+
+    mark: str
+    text: Column
+    share: int
+
+
+def assemble(fields: Sequence[Field], max_len: int, opening: str = "[CLS]", closing: str = "[SEP]") -> Column:
+    """Opening token, then every field cut to its share of the room and followed by the closing token."""
+    room = max_len - 1 - len(fields)
+    pieces = [F.array(F.lit(opening))]
+    for field, budget in zip(fields, allotted(room, [f.share for f in fields])):
+        pieces += [head_tail(words(F.concat(F.lit(field.mark), field.text)), budget), F.array(F.lit(closing))]
+    return F.concat(*pieces)
+
+
+#: fixed values: rules for reading a 0/1 reply, first match wins: (kind, pattern or key words, label)
+REPLY_RULES = (
+    ("first", r'"?label"?\s*[:=]\s*([01])', None),
+    ("last", r"\b([01])\b", None),
+    ("any", ("not", "non-disaster", "no disaster"), 0),
+    ("any", ("disaster", "real"), 1),
+)
+
+
+def parse_label(reply, rules=REPLY_RULES) -> Column:
+    """0/1 from a free reply by the first rule that says something, else NULL."""
+    said = F.trim(col(reply))
+
+    def read(kind: str, what, label) -> Column:
+        if kind == "any":
+            return F.when(reduce(or_, [F.contains(F.lower(said), F.lit(w)) for w in what]), F.lit(label))
+        found = F.regexp_extract_all(said, F.lit(what), F.lit(1))
+        return F.try_element_at(found, F.lit(1 if kind == "first" else -1)).try_cast("int")
+
+    return F.coalesce(*[read(*rule) for rule in rules])
 
 
 def prompt_message(keyword, text) -> Column:

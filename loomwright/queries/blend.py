@@ -79,7 +79,7 @@ def bl_hillclimb(spark, d):
     try:
         n = wide.count()
         scorer = lambda trials: B.score_picks(wide, RUNS, "y", K, lambda s, y: M.mapk(s, y), trials)
-        _, _, trace = B.hillclimb(scorer, RUNS, steps=20)
+        _, _, trace = B.hillclimb(scorer, RUNS)
     finally:
         wide.unpersist()
     return _steps(spark, trace, n)
@@ -104,7 +104,7 @@ def bl_hillclimb_tuned(spark, d):
         prior = [c / sum(counts) for c in counts]
 
         scorer = lambda trials: B.score_tuned_picks(wide, RUNS, "y", K, trials, prior, rounds=2, grid=9)
-        _, _, trace = B.hillclimb(scorer, RUNS, steps=3)
+        _, _, trace = B.hillclimb(scorer, RUNS, steps=3, worthwhile=B.gains_more_than(1e-6))
     finally:
         wide.unpersist()
     return _steps(spark, trace, sum(counts))

@@ -273,7 +273,7 @@ def dec_route_ambiguous(spark, d):
 
 
 @query("dec_conflict_majority", """WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS y FROM labels JOIN documents USING (doc_id)), g AS (SELECT text, avg(y) AS m, count(*) AS n FROM x GROUP BY 1)
-  SELECT doc_id, CASE WHEN n > 1 AND m > 0 AND m < 1 THEN (m > 0.5)::INT ELSE y END::INT AS y FROM x JOIN g USING (text)""")
+  SELECT doc_id, CASE WHEN n > 1 AND m > 0 AND m < 1 THEN (m > 0.5)::INT ELSE y END::INT AS y FROM x LEFT JOIN g USING (text)""")
 def dec_conflict_majority(spark, d):
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", "text", F.when(C("doc_id") % 3 == 0, 1 - C("quality")).otherwise(C("quality")).cast("int").alias("y"))

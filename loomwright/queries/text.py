@@ -250,7 +250,9 @@ def arr_head_tail(spark, d):
 def arr_pack_fields(spark, d):
     p = turn_pairs(spark, d)
     prompt = F.concat_ws(" ", C("conv_id").cast("string"), C("turn").cast("string"))
-    return p.select("conv_id", "turn", F.array_join(T.pack_fields(prompt, "a", "b", 48), " ").alias("packed"))
+    # a quarter of the room for the prompt, the rest in halves
+    fields = [T.Field(m, t, s) for m, t, s in zip(T.FIELD_MARKS, (prompt, C("a"), C("b")), (2, 3, 3))]
+    return p.select("conv_id", "turn", F.array_join(T.assemble(fields, 48), " ").alias("packed"))
 
 
 _REPLY = """CASE (conv_id + turn) % 6 WHEN 0 THEN '{"label": 1} ' || text WHEN 1 THEN 'answer 0 or 1 ' || role WHEN 2 THEN 'Not a Disaster' WHEN 3 THEN ' a real one ' || role WHEN 4 THEN '' ELSE text END"""

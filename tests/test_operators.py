@@ -93,6 +93,31 @@ def test_label_repair(spark):
     assert got == [("t", 1)] * 3 + [("u", 0)] * 2 + [("v", 1)]
 
 
+def test_label_repair_keeps_rows_without_text(spark):
+    df = spark.createDataFrame([(None, 1), (None, 0), ("t", 1), ("t", 0), ("t", None)], "text string, y int")
+    got = [(r["text"], r["y"]) for r in decide.repair_conflicts(df, "text", "y").collect()]
+    assert sorted(got, key=str) == sorted([(None, 1), (None, 0)] + [("t", 0)] * 3, key=str)
+
+
+def test_rank_blend_keeps_rows_without_score(spark):
+    df = spark.createDataFrame([("a", 1, .2), ("a", 2, None), ("a", 3, .9), ("b", 1, .5), ("b", 2, .1), ("b", 3, .7)], "run string, id int, score double")
+    got = {r["id"]: r["score"] for r in B.rank_blend(df, ["run"], ["id"]).collect()}
+    assert got == {1: pytest.approx((1 / 2 + 2 / 3) / 2), 2: None, 3: pytest.approx(1.0)}
+
+
+def test_hillclimb_takes_first_of_equals_and_respects_steps():
+    picks, best, trace = B.hillclimb(lambda trials: [float(sum(t.values())) for t in trials], ["a", "b"], steps=3)
+    assert picks == {"a": 3} and best == 3.0 and trace == [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 3.0)]
+
+
+def test_head_tail_and_assembly(spark):
+    df = spark.createDataFrame([("a b c d e f g", "x"), ("a b", None)], "t string, u string")
+    t = F.split("t", " ")
+    assert [r[0] for r in df.select(T.head_tail(t, 5)).collect()] == [["a", "b", "e", "f", "g"], ["a", "b"]]
+    packed = df.select(T.assemble([T.Field("P: ", F.col("t"), 1), T.Field("", F.lit("y z"), 1)], 11)).collect()
+    assert packed[0][0] == ["[CLS]", "P:", "a", "f", "g", "[SEP]", "y", "z", "[SEP]"]
+
+
 def test_nnls_against_brute_force():
     rng = np.random.default_rng(2)
     x = rng.random((200, 4))

@@ -110,3 +110,10 @@ def test_group_folds_one_giant(spark):
 
 def test_quotas_sum():
     assert FO.quotas({"a": 5, "b": 3, "c": 2}, 7) == {"a": 4, "b": 2, "c": 1}
+
+
+def test_group_folds_keep_rows_without_group(spark):
+    df = spark.createDataFrame([(g,) for g in [1, 1, None, None, None, 2]], "g long")
+    for heavy in (10_000, 2):
+        got = {r["g"]: (r["n"], r["fold"]) for r in FO.group_folds(df, "g", 3, max_heavy=heavy).collect()}
+        assert {g: n for g, (n, _) in got.items()} == {1: 2, 2: 1, None: 3} and all(f is not None for _, f in got.values())
