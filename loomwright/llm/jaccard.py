@@ -40,6 +40,8 @@ SHINGLE, ROUNDS = 5, 2
 MOST_COMMON, SMALL = 1 << 20, 64
 #: Bits of a parity sketch, and rows of a column that are compared at a time.
 SKETCH_BITS, BLOCK = 2048, 512
+#: Bits, as powers of two, of the map of wanted rows (8 MB at every size of the input) and of each of its pieces (4 KB).
+MAP_BITS, PIECE_BITS = 26, 15
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -219,6 +221,18 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _perhaps_wanted(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose doc_id falls on a bit of the wanted ones. The map keeps its size, so that it can be broadcast
+    whatever the input; where it fills up, more rows pass and the exact join after it has more to do."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    piece, spot = F.shiftright(bit, PIECE_BITS).cast("int"), bit.bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+    marks = wanted.select(piece.alias("piece"), spot.alias("spot")).repartition("piece")
+    pieces = marks.groupBy("piece").agg(F.bitmap_construct_agg("spot").alias("bits"))
+    octet = F.conv(F.hex(F.substring(F.col("bits"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tried = source.withColumn("piece", piece).join(F.broadcast(pieces), "piece")
+    return tried.filter(F.getbit(octet, (spot % 8).cast("int")) == 1).drop("piece", "bits")
+
+
 def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts: int) -> DataFrame:
     """(class, n, shingles, sketch) of the wanted (doc_id, class), once a class. The texts go to the task of their class,
     not the sets, which are several times as large."""
@@ -237,7 +251,7 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts:
             yield _batch(rows, SET)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    some = source.join(wanted, "doc_id").select("class", "body").repartition(parts, "class")
+    some = _perhaps_wanted(source, wanted).join(wanted, "doc_id").select("class", "body").repartition(parts, "class")
     return some.mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
 
 
@@ -382,7 +396,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     common = _common(first_pass.filter("code is not null"))
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
-    wanted = whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null")
+    wanted = cut(whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null"))
     with _by_class(_rows_of(docs, text, shingle, wanted, parts), parts) as rows:
         release(spark)
         groups = _joined_groups(tokens, rows)
