@@ -234,25 +234,36 @@ def _perhaps_wanted(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts: int) -> DataFrame:
-    """(class, n, shingles, sketch) of the wanted (doc_id, class), once a class. The texts go to the task of their class,
-    not the sets, which are several times as large."""
+    """(class, n, shingles, sketch) of the wanted (doc_id, class), once a class. Texts that may be wanted are named by their
+    own class and move once, to its task; their sets, which are several times as large, don't move."""
+
+    def named(batches):
+        hashes, rolling = WordHashes(), Rolling()
+        for batch in slices(batches):
+            sets = (shingle_set(hashes.of(body.lower().split() if body else []), shingle, rolling) for body in batch.column(0).to_pylist())
+            names = pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([names, batch.column(0)], ["class", "body"])
 
     def run(batches):
-        rows, held, seen = [], 0, set()
-        for (name,), s in _sets(batches, shingle):
-            if len(s) and name not in seen and _fingerprint(s) == name:
+        hashes, rolling, rows, held, seen = WordHashes(), Rolling(), [], 0, set()
+        for batch in slices(batches):
+            for name, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if name in seen:
+                    continue
                 seen.add(name)
+                s = shingle_set(hashes.of(body.lower().split()), shingle, rolling)
                 rows.append((name, len(s), s.astype("<u8").tobytes(), sketch(s)))
                 held += len(s)
-            if held > 1 << 19:
-                yield _batch(rows, SET)
-                rows, held = [], 0
+                if held > 1 << 19:
+                    yield _batch(rows, SET)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows, SET)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    some = _perhaps_wanted(source, wanted).join(wanted, "doc_id").select("class", "body").repartition(parts, "class")
-    return some.mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
+    some = _perhaps_wanted(source, wanted).select("body").mapInArrow(named, "class binary, body binary")
+    exact = some.filter("class is not null").repartition(parts, "class").join(wanted.select("class"), "class", "left_semi")
+    return exact.select("class", "body").mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
 
 
 @contextmanager
