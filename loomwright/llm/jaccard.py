@@ -330,7 +330,7 @@ def _one_each(tokens: DataFrame, turn: int) -> DataFrame:
 def _left_over(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): pairs of different groups that pass the size, position and sketch bounds; large columns in blocks."""
     size = cut(tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")))
-    full = tokens.join(rows.select("class", "sketch"), "class").join(size, "token")
+    full = tokens.join(size, "token").join(rows.select("class", "sketch"), "class")
     own = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = full.select("token", own.alias("own"), copies.alias("other"), "class", "group", "n", "at", "sketch")
