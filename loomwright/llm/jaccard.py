@@ -262,7 +262,8 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
     some = _perhaps_wanted(source, wanted).select("body").mapInArrow(named, "class binary, body binary")
-    exact = some.filter("class is not null").repartition(parts, "class").join(wanted.select("class"), "class", "left_semi")
+    # an inner join, as a class is wanted once: a semi join would be moved below the repartition and shuffle the texts again
+    exact = some.filter("class is not null").repartition(parts, "class").join(wanted.select("class"), "class")
     return exact.select("class", "body").mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
 
 
