@@ -384,16 +384,23 @@ def _block_pairs(held: list[pa.RecordBatch]):
                 [pa.array([name[i] if f else name[k] for f, k in zip(flip, j)], pa.binary()), pa.array([name[k] if f else name[i] for f, k in zip(flip, j)], pa.binary())], ["a", "b"])
 
 
+def _counted_apart(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links among the pairs; the shuffle files of the search go before the sets move."""
+    found = cut(pairs)
+    release(rows.sparkSession)
+    return cut(_linked(found, rows))
+
+
 def _joined_groups(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the classes that links join."""
     links, groups, open_ = None, None, tokens.withColumn("group", F.col("class"))
     for turn in range(ROUNDS):
-        found = cut(_linked(_close(_one_each(open_, turn), rows), rows))
+        found = _counted_apart(_close(_one_each(open_, turn), rows), rows)
         links = found if links is None else links.unionByName(found)
         groups = components(links)
         open_ = cut(_grouped(tokens, groups))
         release(tokens.sparkSession)
-    found = cut(_linked(_left_over(open_, rows), rows))
+    found = _counted_apart(_left_over(open_, rows), rows)
     return groups if found.isEmpty() else components(links.unionByName(found))
 
 
