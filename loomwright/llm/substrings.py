@@ -106,7 +106,9 @@ def _marked(source: DataFrame, hits: DataFrame, parts: int, window: int, block:
                 words = body.split() if body else []
                 n = len(words)
                 hit = found.of((doc,)) if n >= window else None
-                if hit is None:
+                if hit is not None:  # rows of one id share their hits; those past this text's end are another row's
+                    hit = hit[hit <= n - block]
+                if hit is None or not len(hit):
                     out.append((doc, 0, n, b" ".join(words), None))
                 else:
                     out.append((doc, xxhash.xxh3_64_intdigest(body) - (1 << 63), n, body, _ranges(hit, n, window, block).astype("<i4").tobytes()))

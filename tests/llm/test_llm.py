@@ -116,6 +116,14 @@ def test_substrings(docs, empty):
     assert substrings.dedup(empty).collect() == []
 
 
+def test_substrings_rows_that_share_an_id(spark):
+    long, passage = prose(3060, 21), prose(70, 22)
+    rows = [(1, f"{long} {passage}"), (7, long), (7, passage), (7, "short"), (8, f"{passage} {prose(60, 23)}"), (8, None), (8, passage)]
+    rows = [(i, t, "en", "a", 0, "", k) for k, (i, t) in enumerate(rows)]
+    got = sorted((r[0], r[1], r[2], bytes(r[3])) for r in substrings.dedup(spark.createDataFrame(rows, DOCS).repartition(2)).collect())
+    assert got == plain_dedup(rows)
+
+
 def test_secret_scan(docs, empty):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {}
