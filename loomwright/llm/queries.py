@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, forest, jaccard, mixing, neardup, records, secret_scan, substrings, toxicity, warc
+from loomwright.llm import bpe, forest, jaccard, mixing, neardup, records, secret_scan, substrings, token_counts, toxicity, warc
 from loomwright.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -74,4 +74,9 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op3_jaccard, op4_substrings, op5_neighbours, op6_toxicity, op7_bpe, op8_warc, op9_neardup, op10_records)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op3_jaccard, op4_substrings, op5_neighbours, op6_toxicity, op7_bpe, op8_warc, op9_neardup, op10_records,
+                                    op11_token_counts)}
