@@ -1,6 +1,8 @@
 """DuckDB text of the queries that SQL can say."""
 
-from loomwright.llm import mixing, secret_scan
+from string import ascii_lowercase, ascii_uppercase
+
+from loomwright.llm import mixing, secret_scan, spelling
 
 _WORD = mixing.WORD
 
@@ -69,4 +71,32 @@ def _mix() -> str:
     select doc_id, size::bigint as size, source_size, target, (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken from r"""
 
 
-ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix()}
+#: Table of the CRC-32, by its polynomial, and the CRC of a list of bytes ``bytes`` with the table ``t``.
+_CRC_TABLE = """list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end))"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _spelling() -> str:
+    least, count, times = spelling.LEAST_LENGTH, spelling.LEAST_COUNT, spelling.TIMES
+    return f"""with recursive runs as (select id, run, count(*) as times from (
+      select coalesce(doc_id::varchar, 'null') as id,
+        unnest(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[{spelling.LETTERS}]{{{least},}}')) as run from documents) group by all),
+    hashed as (select run, times, {_CRC} as h from (select run, times, {_CRC_TABLE} as t, flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda c: case when ord(c) < 128 then [ord(c)] else [195, ord(c) - 64] end))::bigint[] as bytes from runs)),
+    noisy as (select case when h % {spelling.FAULT_EVERY} = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from hashed),
+    w as (select word, sum(times)::bigint as n from noisy where length(word) >= {least} group by word having sum(times) >= {count}),
+    hole as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+    cut as (select *, left(word, i - 1) as a, substr(word, i + 1) as b from hole),
+    shorter as (select distinct c.word, c.n, w.word as near, w.n as near_n from cut c join w on w.word = c.a || c.b),
+    pairs as (select x.word, x.n, y.word as near, y.n as near_n from cut x join cut y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+      union all select * from shorter union all select near, near_n, word, n from shorter),
+    best as (select word, count(*) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from pairs group by word),
+    formed as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= {times} * w.n then near end as form,
+      case when near_n >= {times} * w.n then near_n end as form_n from w left join best using (word)),
+    up as (select word, word as at from formed union all select up.word, f.form from up join formed f on f.word = up.at where f.form is not null),
+    ends as (select up.word, up.at as root from up join formed f on f.word = up.at where f.form is null)
+    select f.word, f.form, e.root, f.n, f.n_near, f.form_n from formed f join ends e using (word)"""
+
+
+ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix(), "op12_spelling": _spelling()}
