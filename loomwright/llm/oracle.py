@@ -2,7 +2,7 @@
 
 from string import ascii_lowercase, ascii_uppercase
 
-from loomwright.llm import mixing, secret_scan, spelling
+from loomwright.llm import mixing, repair, secret_scan, spelling
 
 _WORD = mixing.WORD
 
@@ -99,4 +99,47 @@ def _spelling() -> str:
     select f.word, f.form, e.root, f.n, f.n_near, f.form_n from formed f join ends e using (word)"""
 
 
-ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix(), "op12_spelling": _spelling()}
+def _repair() -> str:
+    """The search over rows and states, with whole edit strings."""
+    r, white = repair, " || ".join(f"chr({ord(c)})" for c in repair.WHITE)
+    inserts = [(a, b, k) for a in range(4) for b, k in [(a, 0), (r.ONWARD[a], 1), (r.ONWARD[r.ONWARD[a]], 2), (r.ONWARD[r.ONWARD[r.ONWARD[a]]], 3)]]
+    places = [(a, "sua"[r.ONWARD[a] - 1], r.ONWARD[a], r.KEEP, 0) for a in range(4)] + [(r.START, "s", r.SYSTEM, r.KEEP, 0)]
+    places += [(a, c, r.ONWARD[a], r.REROLE, r.REROLE_COST) for a in range(4) for c in "sua-" if c != "sua"[r.ONWARD[a] - 1]]
+
+    def table(rows, names):
+        return f"(values {', '.join(map(str, rows))}) as x({names})"
+
+    return f"""with recursive d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, h % {r.DAMAGE_OF} as h from (
+      select *, {_CRC} as h from (select *, {_CRC_TABLE} as t,
+        list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ord(c))::bigint[] as bytes from conversations))),
+    after as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then translate(text, '.!?', '') else text end as text
+      from (select *, unnest(range(case when h = 3 then 2 else 1 end)) from d where h <> 0)),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, rtrim(text, {white}) as bare from after),
+    rows as (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '-' end as c, lag(role) over w as before,
+      case when bare = '' then 'b' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'd' when right(bare, 1) in ('.', '!', '?') then '' else 't' end as f
+      from placed window w as (partition by conv_id order by k)),
+    sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (f = 'b') as blank, count(*) filter (f = 'd') as duplicate,
+      count(*) filter (f = 't') as truncated, count(*) filter (before is not null and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal, count(*) as n from rows group by conv_id),
+    ins as (select * from {table(inserts, "q, t, m")}), plc as (select * from {table(places, "t, c, z, e, cost")}),
+    way as (
+      select conv_id, 0::bigint as k, 0 as q, 0::bigint as cost, '' as audit from sums
+      union all
+      select conv_id, k, z, min({{'c': cost, 'a': audit}}).c, min({{'c': cost, 'a': audit}}).a from (
+        select v.conv_id, v.k + 1 as k, z, v.cost + {r.INSERT_COST} * m + o.cost as cost, v.audit || repeat('{r.INSERT}', m) || e as audit
+        from way v join ins i on i.q = v.q join rows x on x.conv_id is not distinct from v.conv_id and x.k = v.k + 1
+        join lateral (select i.t as z, '{r.DELETE}' as e, {r.DELETE_COST} as cost
+          union all select z, e, p.cost + case when x.f = 't' then {r.BROKEN_COST} else 0 end from plc p where p.t = i.t and p.c = x.c and x.f not in ('b', 'd')) o on true)
+      group by conv_id, k, z),
+    best as (select s.conv_id, min({{'c': v.cost + {r.INSERT_COST} * m, 'a': v.audit || repeat('{r.INSERT}', m)}}) as b
+      from sums s join way v on v.conv_id is not distinct from s.conv_id and v.k = s.n join ins i on i.q = v.q where i.t in {r.ENDS} group by s.conv_id),
+    letters as (select *, count(*) filter (e <> '{r.INSERT}') over w as k, count(*) filter (e <> '{r.DELETE}') over w - 1 as o, count(*) filter (e <> '{r.DELETE}') over (partition by conv_id) % 2 as odd
+      from (select conv_id, unnest(string_split(b.a, '')) as e, unnest(range(1, length(b.a) + 1)) as j from best where b.a <> '') window w as (partition by conv_id order by j)),
+    whole as (select l.conv_id, sha256(string_agg(case when e = '{r.KEEP}' then x.role when (o - odd) % 2 = 0 then 'user' else 'assistant' end || ':' || case when e = '{r.INSERT}' then '' else x.text end, chr(10) order by j)) as h
+      from letters l left join rows x on x.conv_id is not distinct from l.conv_id and x.k = l.k where e <> '{r.DELETE}' group by l.conv_id)
+    select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+      coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+    from (select distinct conv_id from conversations) c left join sums s on s.conv_id is not distinct from c.conv_id
+    left join best on best.conv_id is not distinct from c.conv_id left join whole w on w.conv_id is not distinct from c.conv_id"""
+
+
+ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix(), "op12_spelling": _spelling(), "op13_repair": _repair()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, forest, jaccard, mixing, neardup, records, secret_scan, spelling, substrings, token_counts, toxicity, warc
+from loomwright.llm import bpe, forest, jaccard, mixing, neardup, records, repair, secret_scan, spelling, substrings, token_counts, toxicity, warc
 from loomwright.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -82,5 +82,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(_table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations")
+    return repair.report(talks, repair.damage(talks))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_mix, op3_jaccard, op4_substrings, op5_neighbours, op6_toxicity, op7_bpe, op8_warc, op9_neardup, op10_records,
-                                    op11_token_counts, op12_spelling)}
+                                    op11_token_counts, op12_spelling, op13_repair)}
