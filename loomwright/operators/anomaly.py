@@ -181,20 +181,20 @@ def isolation_forest(train: DataFrame, test: DataFrame, id_col: str, cols: Seque
     return test.withColumn("score", path_score(*cols))
 
 
-def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20) -> DataFrame:
-    """Mean neighbour density over own density (id, score); densities come from the train side only."""
-    near = cut(knn(train, train, k, id_col, vec, exclude_same=True))
-    reach = near.groupBy("qid").agg(F.max("dist").alias("kdist"))
-
-    def density(neigh: DataFrame) -> DataFrame:
-        j = neigh.join(reach.select(F.col("qid").alias("bid"), F.col("kdist")), "bid")
-        return j.groupBy("qid").agg((1.0 / (F.avg(F.greatest("kdist", "dist")) + 1e-10)).alias("lrd"))
-
-    base = cut(density(near)).select(F.col("qid").alias("bid"), F.col("lrd").alias("b_lrd"))
-    mine = cut(knn(test, train, k, id_col, vec))
-    own = density(mine)
-    j = mine.join(base, "bid").groupBy("qid").agg(F.avg("b_lrd").alias("around")).join(own, "qid")
-    return j.select(F.col("qid").alias(id_col), (F.col("around") / F.col("lrd")).alias("score"))
+def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20, **search) -> DataFrame:
+    """Mean neighbour density over own density (id, score); densities come from the train side only.
+
+    Neighbours are those that the bucket search finds (``search``: its tables, bucket and bits).
+    """
+    both = train.select(id_col, vec, F.lit(True).alias("base")).unionByName(test.select(id_col, vec, F.lit(False).alias("base")))
+    near = cut(knn(both, k, id_col, vec, **search))
+    inside = near.join(train.select(F.col(id_col).alias("qid")), "qid", "left_semi")
+    reach = inside.groupBy("qid").agg(F.max("dist").alias("kdist"))
+    reached = near.join(reach.select(F.col("qid").alias("bid"), "kdist"), "bid")
+    lrd = cut(reached.groupBy("qid").agg((1.0 / (F.avg(F.greatest("kdist", "dist")) + 1e-10)).alias("lrd")))
+    around = near.join(lrd.select(F.col("qid").alias("bid"), F.col("lrd").alias("b_lrd")), "bid").groupBy("qid").agg(F.avg("b_lrd").alias("around"))
+    scored = test.select(F.col(id_col).alias("qid")).join(lrd, "qid").join(around, "qid")
+    return scored.select(F.col("qid").alias(id_col), (F.col("around") / F.col("lrd")).alias("score"))
 
 
 def rule_flags(df: DataFrame, value: str) -> DataFrame:
@@ -206,12 +206,12 @@ def rule_flags(df: DataFrame, value: str) -> DataFrame:
     return df.agg(rate(x == 1).alias("rate_one"), rate(x == 0).alias("rate_zero"), rate(x < 0).alias("rate_negative"), rate(x.isNull()).alias("rate_missing"))
 
 
-def smote(df: DataFrame, id_col: str, vec: str, label: Column, k: int = 5) -> DataFrame:
-    """Synthetic minority rows up to the majority size, between a minority row and one of its neighbours."""
+def smote(df: DataFrame, id_col: str, vec: str, label: Column, k: int = 5, **search) -> DataFrame:
+    """Synthetic minority rows up to the majority size, between a minority row and one of the neighbours found for it."""
     counts = df.agg(F.count_if(label).alias("m"), row_count().alias("n")).first()
-    minority = df.filter(label).select(id_col, vec)
+    minority = cut(df.filter(label).select(id_col, vec))
     need = counts["n"] - 2 * counts["m"]
-    near = knn(minority, minority, k, id_col, vec, exclude_same=True)
+    near = knn(minority.withColumn("base", F.lit(True)), k, id_col, vec, **search)
     numbered = hash_numbered(minority, [], id_col, "smote").select("__n", F.col(id_col).alias("qid"), F.col(vec).alias("a"))
     kk = min(k, counts["m"] - 1)
     draws = df.sparkSession.range(max(0, need)).select(

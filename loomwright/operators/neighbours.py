@@ -1,9 +1,10 @@
-"""Exact k nearest neighbours without comparing everything with everything in one place.
+"""k nearest neighbours by several tables of random-hyperplane buckets.
 
-Points go to the cell of their nearest pivot. A cell-level bound on the k-th distance (triangle
-inequality, as in pivot-partitioned kNN joins) decides which cells a base point must visit; the pairs
-left are worked off in blocks of bounded size, so a hot cell becomes many blocks, and the block results
-are merged by rank. Nothing is capped: a pair is skipped only when the bound proves it cannot matter.
+A table puts all rows in the order of a code (which side of each of ``BITS`` hyperplanes through the mean a row lies on,
+first plane first), then of one more projection, then of the id, and cuts that order into buckets of equal size, at most
+``bucket`` rows. Rows that share a bucket in any table are compared. So a dense region is cut further by the later planes
+and an empty one is joined with its neighbours: every bucket is full, whatever the data, and the work is rows x tables x
+bucket at every size. Hyperplanes come from a formula in the table, plane and dimension numbers that SQL can repeat.
 """
 
 from __future__ import annotations
@@ -15,18 +16,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import hash_key, row_count
+from loomwright.plans.scan import row_numbers
+from loomwright.plans.store import cut
 
-BLOCK = 2048
-MAX_PIVOTS = 256
+TABLES, BITS, BUCKET = 8, 24, 256
+#: Fixed values of the formula for the planes' coefficients: factors and modulus.
+CUBE, SQUARE, LINE, MODULUS = 31, 17, 7919, 1_000_003
+#: Digits of the last projection, so that equal rows tie in every engine.
+DIGITS = 6
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
+def planes(tables: int, dims: int, bits: int = BITS) -> np.ndarray:
+    """(table, plane, dimension) coefficients in [-0.5, 0.5); the last plane of a table orders rows of one code."""
+    x = np.arange(1, tables * (bits + 1) * dims + 1, dtype=np.int64)
+    return ((x * x * x * CUBE + x * x * SQUARE + x * LINE) % MODULUS / MODULUS - 0.5).reshape(tables, bits + 1, dims)
+
+
+def _mean(points: DataFrame, vec: str) -> np.ndarray:
+    cells = points.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
+    return np.array([r["m"] for r in sorted(cells, key=lambda r: r["i"])])
+
+
+def bucketed(points: DataFrame, id_col: str, vec: str, tables: int = TABLES, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """(id, v, base, tab, bucket) for every row and table; ``points`` has a flag ``base``."""
+    n = points.count()
+    centre = _mean(points, vec)
+    coefficients = planes(tables, len(centre), bits)
+    worth = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) - centre
+            side = np.einsum("nd,tpd->ntp", x, coefficients)
+            codes = (side[:, :, :bits] >= 0) @ worth
+            for t in range(tables):
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "base": pdf["base"], "tab": np.int32(t), "code": codes[:, t], "along": np.round(side[:, t, bits], DIGITS) + 0.0})
+
+    source = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col("base").cast("boolean").alias("base"))
+    coded = cut(source.mapInPandas(run, "id long, v array<double>, base boolean, tab int, code long, along double"))
+    placed = row_numbers(coded.select("id", "tab", "code", "along"), ["tab"], [F.col("code"), F.col("along"), F.col("id")], "at", chunk_on=F.col("code"))
+    many = max(1, -(-n // bucket))
+    places = placed.select("id", "tab", F.floor((F.col("at") - 1) * many / n).alias("bucket"))
+    return coded.select("id", "v", "base", "tab").join(places, ["id", "tab"])
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Plain differences in slices: no cancellation, bounded memory."""
+    """Plain differences: no cancellation; both sides are a bucket at most."""
     out = np.empty((len(a), len(b)))
     step = max(1, 4_000_000 // max(1, b.size))
     for i in range(0, len(a), step):
@@ -35,76 +72,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assign(df: DataFrame, pivots: np.ndarray, id_col: str, vec: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["v"]), pivots)
-            near = d.argmin(axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": near.astype("int32"), "far": d[np.arange(len(d)), near]})
-
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    return src.mapInPandas(run, "id long, v array<double>, cell int, far double")
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str, vec: str, exclude_same: bool = False, block: int = BLOCK) -> DataFrame:
-    """(qid, bid, dist, rk): the k nearest base rows of every query row, ties by id."""
-    n = base.count()
-    want = int(max(1, min(MAX_PIVOTS, n**0.5 / 4)))
-    picked = base.orderBy(hash_key(id_col, seed="pivot"), id_col).limit(want).select(F.col(vec).cast("array<double>").alias("v")).collect()
-    pivots = np.array([r["v"] for r in picked])
-    between = _distances(pivots, pivots)
-    b = _assign(base, pivots, id_col, vec)
-    q = _assign(queries, pivots, id_col, vec)
-    need = k + (1 if exclude_same else 0)
-
-    # per base cell the `need` smallest pivot distances, per query cell its radius: small tables
-    w = Window.partitionBy("cell").orderBy("far", "id")
-    close = b.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= need).select("cell", "far").collect()
-    q_cells = {r["cell"]: (r["radius"], r["n"]) for r in q.groupBy("cell").agg(F.max("far").alias("radius"), row_count().alias("n")).collect()}
-    cells = sorted(q_cells)
-    radius = np.array([q_cells[c][0] for c in cells])
-    c_cell, c_far = np.array([r["cell"] for r in close], dtype=int), np.array([r["far"] for r in close])
-    theta = np.array([
-        np.sort(radius[i] + between[c, c_cell] + c_far)[min(need, len(c_far)) - 1] if len(c_far) >= need else np.inf
-        for i, c in enumerate(cells)])
-    cell_ids = np.array(cells, dtype=int)
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            low = between[np.ix_(pdf["cell"].to_numpy(), cell_ids)] - radius[None, :] - pdf["far"].to_numpy()[:, None]
-            keep = low <= theta[None, :] * (1 + 1e-12)
-            rows, cols = np.nonzero(keep)
-            yield pd.DataFrame({"bid": pdf["id"].to_numpy()[rows], "bv": pdf["v"].to_numpy()[rows], "cell": cell_ids[cols].astype("int32")})
-
-    visits = b.mapInPandas(visit, "bid long, bv array<double>, cell int")
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(row_count().alias("n")).collect()}
-    spark = base.sparkSession
-    # one row per cell: how many query and base chunks it is cut into
-    plan = spark.createDataFrame(
-        [(int(c), -(-int(q_cells[c][1]) // block), max(1, -(-int(load.get(c, 0)) // block))) for c in cells], "cell int, nq int, nb int")
-    plan = F.broadcast(plan)
-    qs = q.join(plan, "cell").select(
-        "id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int").alias("qc"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bc"))
-    bs = visits.join(plan, "cell").select(
-        "bid", "bv", "cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"), F.pmod(F.xxhash64("bid"), F.col("nb")).cast("int").alias("bc"))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "bid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        right = right.sort_values("bid")
-        d = _distances(_matrix(left["v"]), _matrix(right["bv"]))
-        qid, bid = left["id"].to_numpy(), right["bid"].to_numpy()
-        if exclude_same:
-            d[qid[:, None] == bid[None, :]] = np.inf
+def knn(points: DataFrame, k: int, id_col: str, vec: str, tables: int = TABLES, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """(qid, bid, dist, rk): the k nearest base rows found of every row, itself left out, ties by id; ids are unique."""
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        ids, base = group["id"].to_numpy(), group["base"].to_numpy(dtype=bool)
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in group["v"]])
+        d = _distances(x, x[base])
+        d[ids[:, None] == ids[base][None, :]] = np.inf
         top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, top, axis=1)
-        out = pd.DataFrame({"qid": np.repeat(qid, top.shape[1]), "bid": bid[top].ravel(), "dist": dist.ravel()})
+        out = pd.DataFrame({"qid": np.repeat(ids, top.shape[1]), "bid": ids[base][top].ravel(), "dist": np.take_along_axis(d, top, axis=1).ravel()})
         return out[np.isfinite(out["dist"])]
 
-    part = qs.groupBy("cell", "qc", "bc").cogroup(bs.groupBy("cell", "qc", "bc")).applyInPandas(nearest, "qid long, bid long, dist double")
-    rank = Window.partitionBy("qid").orderBy("dist", "bid")
-    return part.withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= k)
+    each = bucketed(points, id_col, vec, tables, bucket, bits)
+    found = each.groupBy("tab", "bucket").applyInPandas(nearest, "qid long, bid long, dist double").dropDuplicates(["qid", "bid"])
+    rank = Window.partitionBy("qid").orderBy("dist", "bid")  # a row has at most tables x k candidates here
+    return found.withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= k)

@@ -9,6 +9,7 @@ from loomwright.operators import blend as B
 from loomwright.operators import decide as D
 from loomwright.operators import encode as E
 from loomwright.operators import models as ML
+from loomwright.operators import neighbours as N
 from loomwright.queries.fixtures import scores_wide, split_col, split_lines
 from loomwright.queries.history import rounded
 from loomwright.queries.registry import query
@@ -229,13 +230,24 @@ def an_iforest(spark, d):
     return A.scaled(out.select("row_id", "score"))
 
 
-_D = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - b.v[i]) ** 2)))"
-
-
-@query("an_lof", f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT * FROM e WHERE vec_id % 5 < 4),
-  p AS (SELECT x.vec_id AS q, b.vec_id AS bid, {_D} AS dist FROM e x, b WHERE x.vec_id <> b.vec_id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, bid) AS rk FROM p) WHERE rk <= 20),
-  r AS (SELECT q AS bid, max(dist) AS kd FROM k WHERE q % 5 < 4 GROUP BY 1), l AS (SELECT q, 1.0 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM k JOIN r USING (bid) GROUP BY 1)
-  SELECT k.q AS vec_id, round(avg(lb.lrd) / any_value(lq.lrd), 6) AS score FROM k JOIN l lb ON lb.q = k.bid JOIN l lq ON lq.q = k.q WHERE k.q % 5 >= 4 GROUP BY 1""")
+def near_sql(points: str, k: int) -> str:
+    """CTEs on ``points`` (vec_id, v, base): the bucket search's table ``near`` (q, bid, dist, rk)."""
+    width = N.BITS + 1
+    x = f"(({{t}} * {width} + {{b}}) * 64 + i)::BIGINT"
+    coefficient = f"(({x} * {x} * {x} * {N.CUBE} + {x} * {x} * {N.SQUARE} + {x} * {N.LINE}) % {N.MODULUS}) / {N.MODULUS}::DOUBLE - 0.5"
+    on = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (" + coefficient + ")))"
+    code = f"list_sum(list_transform(range({N.BITS}), lambda b: CASE WHEN {on.format(t='t', b='b')} >= 0 THEN (1 << ({N.BITS - 1} - b))::BIGINT ELSE 0 END))"
+    return f"""pts AS ({points}), mid AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM pts, range(1, 65) r(i) GROUP BY i)),
+  coded AS (SELECT vec_id, v, base, t, {code} AS code, round({on.format(t='t', b=N.BITS)}, {N.DIGITS}) AS along FROM pts, mid, range({N.TABLES}) tabs(t)),
+  placed AS (SELECT *, floor((row_number() OVER (PARTITION BY t ORDER BY code, along, vec_id) - 1) * ceil(count(*) OVER (PARTITION BY t) / {N.BUCKET}) / count(*) OVER (PARTITION BY t)) AS bucket FROM coded),
+  near AS (SELECT * FROM (SELECT q, bid, dist, row_number() OVER (PARTITION BY q ORDER BY dist, bid) AS rk FROM (
+    SELECT DISTINCT x.vec_id AS q, y.vec_id AS bid, sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) ** 2))) AS dist
+    FROM placed x JOIN placed y ON x.t = y.t AND x.bucket = y.bucket AND x.vec_id <> y.vec_id AND y.base)) WHERE rk <= {k})"""
+
+
+@query("an_lof", f"""WITH {near_sql("SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 5 < 4 AS base FROM embeddings", 20)},
+  r AS (SELECT q AS bid, max(dist) AS kd FROM near WHERE q % 5 < 4 GROUP BY 1), l AS (SELECT q, 1.0 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM near JOIN r USING (bid) GROUP BY 1)
+  SELECT n.q AS vec_id, round(avg(lb.lrd) / any_value(lq.lrd), 6) AS score FROM near n JOIN l lb ON lb.q = n.bid JOIN l lq ON lq.q = n.q WHERE n.q % 5 >= 4 GROUP BY 1""")
 def an_lof(spark, d):
     tr, te = vectors(spark, d)
     return rounded(A.local_outlier_factor(tr, te, "vec_id", "v", 20))
@@ -250,11 +262,18 @@ def an_rule_flags(spark, d):
     return A.rule_flags(table(spark, d, "events").select(v.alias("v")), "v")
 
 
-@query("smp_smote")
+_UNIT = "('0x' || substr(md5(synthetic::VARCHAR || '{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("smp_smote", f"""WITH {near_sql("SELECT vec_id, embedding::DOUBLE[] AS v, true AS base FROM embeddings WHERE label = 0 AND vec_id % 5 < 4", 5)},
+  size AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS m FROM embeddings WHERE vec_id % 5 < 4), numbered AS (SELECT vec_id, v, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || 'smote'), vec_id) AS place FROM pts),
+  draws AS (SELECT *, floor({_UNIT.format("neighbour")} * least(5, m - 1)) + 1 AS rk, {_UNIT.format("gap")} AS gap FROM (SELECT unnest(range(n - 2 * m)) AS synthetic, m FROM size))
+  SELECT d.synthetic, a.vec_id AS base_id, b.vec_id AS neighbour_id, d.gap, round(a.v[1] + (b.v[1] - a.v[1]) * d.gap, 9) + 0.0 AS v0, round(a.v[2] + (b.v[2] - a.v[2]) * d.gap, 9) + 0.0 AS v1
+  FROM draws d JOIN numbered a ON a.place = d.synthetic % d.m + 1 JOIN near ON near.q = a.vec_id AND near.rk = d.rk JOIN pts b ON b.vec_id = near.bid""")
 def smp_smote(spark, d):
     tr, _ = vectors(spark, d)
     out = A.smote(tr, "vec_id", "v", C("y") == 1)
-    return out.select("synthetic", "base_id", "neighbour_id", "gap", F.get("v", F.lit(0)).alias("v0"), F.get("v", F.lit(1)).alias("v1"))
+    return out.select("synthetic", "base_id", "neighbour_id", "gap", *[(F.round(F.get("v", F.lit(i)), 9) + 0.0).alias(f"v{i}") for i in range(2)])
 
 
 @query("pub_score_report")

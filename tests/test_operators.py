@@ -257,18 +257,40 @@ def brute_knn(a, b, k, same=False):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_knn_is_exact(spark, block):
+def test_knn_of_one_bucket_is_exact(spark):
     rng = np.random.default_rng(5)
     # half of the points sit in one tight cluster
     pts = {i: tuple(map(float, rng.normal(0, .01 if i % 2 else 3, 4))) for i in range(120)}
-    df = spark.createDataFrame([(i, list(p)) for i, p in pts.items()], "id long, v array<double>")
+    df = spark.createDataFrame([(i, list(p), True) for i, p in pts.items()], "id long, v array<double>, base boolean")
     got = {}
-    for r in neighbours.knn(df, df, 3, "id", "v", exclude_same=True, block=block).orderBy("qid", "rk").collect():
+    for r in neighbours.knn(df, 3, "id", "v").orderBy("qid", "rk").collect():
         got.setdefault(r["qid"], []).append(r["bid"])
     assert got == brute_knn(pts, pts, 3, True)
 
 
+def test_knn_buckets_are_full_and_find_most(spark):
+    """A third of the rows are copies of one point, the rest clusters: equal buckets, and a recall well above chance."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (60, 16))
+    pts = {i: tuple(map(float, centres[0] if i % 3 == 0 else centres[i % 60] + rng.normal(0, .15, 16))) for i in range(3000)}
+    df = spark.createDataFrame([(i, list(p), i % 5 < 4) for i, p in pts.items()], "id long, v array<double>, base boolean").repartition(5)
+    sizes = neighbours.bucketed(df, "id", "v", bucket=128).groupBy("tab", "bucket").count().agg(F.max("count"), F.min("count"), F.count("*")).first()
+    assert sizes[0] <= 128 and sizes[1] >= 120 and sizes[2] == neighbours.TABLES * 24
+    got = {}
+    for r in neighbours.knn(df, 10, "id", "v", bucket=128).collect():
+        got.setdefault(r["qid"], set()).add(r["bid"])
+        assert r["bid"] % 5 < 4 and r["bid"] != r["qid"]
+    x = np.array([pts[i] for i in range(3000)])
+    base = np.array([i for i in range(3000) if i % 5 < 4])
+    found = total = 0
+    for q in range(1, 3000, 29):
+        if q % 3:
+            d = np.sqrt(((x[base] - x[q]) ** 2).sum(1))
+            near = [b for _, b in sorted(zip(d, base)) if b != q][:10]
+            found, total = found + len(got[q] & set(near)), total + 10
+    assert all(len(g) == 10 for g in got.values()) and len(got) == 3000 and found / total >= .9
+
+
 def test_smote_lies_between(spark):
     rows = [(i, [float(i), 0.0], int(i < 6)) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, v array<double>, y int")
