@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +126,7 @@ class Words(Pieces):
         plain = [k for k, m in enumerate(marks) if m]
         for at in range(0, len(plain), 512):
             some = plain[at:at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in some])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1
             last = np.cumsum([1 + bool(marks[k][1]) for k in some]) - 1
             if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
@@ -143,9 +144,70 @@ def shared(path: str, kind: str = "<u4") -> tuple[Pieces, np.ndarray]:
     return Pieces(tokenizer, kind), cut_table(tokenizer)
 
 
+class WordIds:
+    """Ids of texts whose pieces are words: distinct words get numbers, and all ids of some texts are one gather by them.
+
+    Words are found and looked up as Arrow arrays. A-Z is lowered first, which the tokenizer does anyway, unless that
+    would make up a special string; a mark behind letters is parted from them, as the pre-tokenizer does.
+    """
+
+    MARKED, SPACED = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])([ \\x09-\\x0d]|$)", "\\1 \\2\\3"
+
+    def __init__(self, words: Words):
+        self.words = words
+        self.specials = [t.content for t in words.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([""], pa.string())
+        self.flat, self.start, self.length = np.empty(0, self.words.kind), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _apart(self, texts: pa.Array) -> pa.Array:
+        low = pc.ascii_lower(texts)
+        made_up = any(pc.sum(pc.count_substring(low, s)).as_py() != pc.sum(pc.count_substring(texts, s)).as_py() for s in self.specials)
+        return pc.replace_substring_regex(texts if made_up else low, self.MARKED, self.SPACED) if self.words.suffix else texts
+
+    def _learn(self, new: pa.Array) -> None:
+        words = [w.encode() for w in new.to_pylist()]
+        self.words.learn(words)
+        ids = list(map(self.words.known.__getitem__, words))
+        self.words.known = {}
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.flat.itemsize
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.length = np.concatenate([self.length, size])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.flat.dtype)])
+        self.known = pa.concat_arrays([self.known, new])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and where each text's begin and end."""
+        lists = pc.ascii_split_whitespace(self._apart(texts))
+        coded = lists.values.dictionary_encode()
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        self._learn(coded.dictionary.filter(pc.invert(pc.is_in(coded.dictionary, value_set=self.known))))
+        of = pc.index_in(coded.dictionary, value_set=self.known).to_numpy()[coded.indices.to_numpy()]
+        size = self.length[of]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[of] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[lists.offsets.to_numpy()]
+
+
 @lru_cache(maxsize=2)
-def shared_words(path: str, kind: str = "<u4") -> Words:
-    return Words(load(path), kind)
+def shared_words(path: str, kind: str = "<u4") -> WordIds:
+    return WordIds(Words(load(path), kind))
+
+
+def portions(lengths: Iterable[int], most: int = 8 * AT_A_TIME) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows with about ``most`` bytes; a longer text is a run of its own."""
+    start = size = n = 0
+    for k, length in enumerate(lengths):
+        if size and size + length > most:
+            yield start, k - start
+            start, size = k, 0
+        size += length
+        n = k + 1
+    if n > start:
+        yield start, n - start
 
 
 def in_portions(values: list[bytes | None], most: int = AT_A_TIME) -> Iterator[list[bytes]]:
@@ -192,7 +254,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", text: str
     """All columns and the text of the ids; bytes that are no UTF-8 become replacement characters."""
 
     def run(batches):
-        table = token_bytes(load(tokenizer_path))
+        table = token_bytes(shared(tokenizer_path)[0].tokenizer)
         for batch in slices(batches):
             raw = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             texts = [b"".join(map(table.__getitem__, np.frombuffer(r or b"", "<u4").tolist())).decode("utf-8", "replace") for r in raw]

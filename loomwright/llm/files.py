@@ -17,9 +17,9 @@ def open_out(uri: str):
     return system.open_output_stream(path)
 
 
-def open_in(uri: str):
+def open_in(uri: str, seekable: bool = False):
     system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(path)
+    return system.open_input_file(path) if seekable else system.open_input_stream(path)
 
 
 def attempt_name(base: str, part: int, suffix: str) -> str:

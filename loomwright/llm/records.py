@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.bpe import in_portions, shared_words
+from loomwright.llm.bpe import portions, shared_words
 from loomwright.llm.files import attempt_name, fresh_path, open_in, open_out, spread
-from loomwright.llm.words import slices
 from loomwright.plans.store import cut
 
 #: The mask of checksums (fixed value).
@@ -64,42 +63,40 @@ def read_frame(stream, path: str) -> bytes | None:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", base: str | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, write the record files; returns the manifest."""
     base = base or fresh_path(docs.sparkSession, "records")
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    ordered = raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    ordered = raw.repartitionByRange("doc_id", F.xxhash64("body")).sortWithinPartitions("doc_id", "body")
 
     def run(batches):
         out = index = None
-        count = ids = at = 0
-        pieces = None
-        for batch in slices(batches):
+        count = n_ids = at = 0
+        for batch in batches:
             if out is None:
-                pieces = shared_words(tokenizer_path)
-                wide = pieces.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
+                words = shared_words(tokenizer_path)
+                wide = words.words.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
+                kind = "<u4" if wide else "<u2"
                 path = attempt_name(base, TaskContext.get().partitionId(), ".rec")
                 out, index = open_out(path), open_out(path + ".idx")
-                end = np.array([end_id], "<u4").tobytes()
-            names = batch.column(0).to_pylist()
-            done = 0
-            for portion in in_portions(batch.column(1).to_pylist()):
+                end = np.array([end_id], kind).tobytes()
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for first, n in portions(pc.binary_length(texts).to_pylist()):
+                ids, edges = words.ids(texts.slice(first, n))
+                ids = ids.astype(kind)
                 heads, parts = [], []
-                for coded in pieces.ids([b.split() for b in portion]):
-                    row = np.frombuffer(coded + end, "<u4")
-                    name = names[done]
-                    done += 1
-                    record = frame(struct.pack("<?q", name is not None, name or 0) + (row if wide else row.astype("<u2")).tobytes())
-                    heads.append((at, len(row)))
+                for name, i, j in zip(names[first:first + n], edges[:-1].tolist(), edges[1:].tolist()):
+                    record = frame(struct.pack("<?q", name is not None, name or 0) + ids[i:j].tobytes() + end)
+                    heads.append((at, j - i + 1))
                     parts.append(record)
                     at += len(record)
-                    ids += len(row)
-                count += len(parts)
+                    n_ids += j - i + 1
+                count += n
                 out.write(b"".join(parts))
                 index.write(np.array(heads, "<i8").tobytes())
         if out is not None:
             out.close()
             index.close()
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "kind": ["<u4" if wide else "<u2"],
-                "n_records": [count], "n_ids": [ids], "bytes": [at]})
+                "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "kind": [kind],
+                "n_records": [count], "n_ids": [n_ids], "bytes": [at]})
 
     return cut(ordered.mapInArrow(run, MANIFEST))
 
@@ -157,9 +154,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def fetch(path: str, positions: list[int], kind: str = "<u2") -> list[np.ndarray]:
-    """Records of one file in any order, by the index: for shuffled reads."""
+    """Records of one file in any order, by the index: for shuffled reads. Only the records asked for are read."""
     with open_in(path + ".idx") as s:
         index = np.frombuffer(s.read(), "<i8").reshape(-1, 2)
-    with open_in(path) as s:
-        body = s.read()
-    return [np.frombuffer(read_frame(BytesIO(body[index[k, 0]:]), path), kind, offset=9) for k in positions]
+    out = []
+    with open_in(path, seekable=True) as s:
+        for k in positions:
+            s.seek(int(index[k, 0]))
+            out.append(np.frombuffer(read_frame(s, path), kind, offset=9))
+    return out

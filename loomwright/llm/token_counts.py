@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -27,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.bpe import load
+from loomwright.llm.bpe import load, portions
 
 LIMIT = 2048
-#: Distinct words whose count a task remembers, words split at a time, and bytes of text that are counted at a time.
-REMEMBERED, TOGETHER, AT_A_TIME = 500_000, 4096, 8 << 20
+#: Distinct words whose count a task remembers, and words split at a time.
+REMEMBERED, TOGETHER = 500_000, 4096
 
 
 def prove(tokenizer) -> frozenset[str]:
@@ -119,19 +118,6 @@ class ByWord:
         return upto[edges[1:]] - upto[edges[:-1]]
 
 
-def portions(lengths: Iterable[int], most: int = AT_A_TIME) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of rows with about ``most`` bytes; a longer text is a run of its own."""
-    start = size = n = 0
-    for k, length in enumerate(lengths):
-        if size and size + length > most:
-            yield start, k - start
-            start, size = k, 0
-        size += length
-        n = k + 1
-    if n > start:
-        yield start, n - start
-
-
 def count(docs: DataFrame, tokenizer_path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """All columns but the text, and n_bytes, n_tokens, over_limit (more tokens than ``limit``)."""
     new = ("n_bytes", "n_tokens", "over_limit")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -183,12 +184,18 @@ def test_bpe(docs, empty, path):
 
 def test_bpe_pieces_fit_the_library():
     signs = [*"ab Z9'é 　\n\t<|>.s!́Жq", "'re", "  ", "<|endoftext|>", "Σ", "İ", "\x85"]
-    byte, word = bpe.shared(BYTE), bpe.shared_words(WORD)
+    byte, word, gathered = bpe.shared(BYTE), bpe.Words(bpe.load(WORD)), bpe.shared_words(WORD)
+    texts = []
     rng = np.random.default_rng(8)
     for _ in range(3000):
         text = "".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 12)))
         for pieces, parts in ((byte[0], bpe.fragments(text.encode(), byte[1])), (word, text.encode().split())):
             assert np.frombuffer(pieces.ids([parts])[0], "<u4").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+        texts.append(text.replace("a", "A, ") + ("<|ENDOFTEXT|>" if len(texts) > 2900 else ""))
+    for at in range(0, len(texts), 100):  # many texts at once; a special string in capitals is none
+        ids, edges = gathered.ids(pa.array(texts[at:at + 100]))
+        want = [e.ids for e in gathered.words.tokenizer.encode_batch(texts[at:at + 100], add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(edges[:-1], edges[1:])] == want
 
 
 def test_records(docs, empty, tmp_path):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from loomwright.llm import token_counts
-from loomwright.llm.bpe import load
+from loomwright.llm.bpe import load, portions
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ATOMS = ["a", "the", "The", "'s", "'ll", "S", "e\u0301", "\u00e9", "\u00dc", "\u3000", "\u00a0", " ", "  ", "\n", "\t", ".", "...", "!?", "1", "23",
@@ -55,5 +55,5 @@ def test_rows(spark):
 
 
 def test_portions_cover_all_rows():
-    assert list(token_counts.portions([5, 0, 9, 30, 1, 1], 10)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
-    assert list(token_counts.portions([])) == []
+    assert list(portions([5, 0, 9, 30, 1, 1], 10)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(portions([])) == []
