@@ -2,15 +2,14 @@
 
 Positives are documents labelled toxic; unlabelled are documents of any kind, their labels unused. Features are the
 words of the whole text (runs of letters, lower case), each present or absent, weighted by the log ratio of its rates in
-both samples, so that words which say nothing weigh nothing and long texts gain no score by length; words whose rates differ by less than ``SURE``
-standard errors are left out. Several linear
-models are trained in numpy on random halves, each by full-batch gradients of the risk
+both samples, so that words which say nothing weigh nothing and long texts gain no score by length; words
+whose rates differ by less than ``SURE`` standard errors are left out. Several linear models are trained in numpy on random halves, each by full-batch gradients of the risk
 
     prior * mean_P[loss(+g)] + max(0, mean_U[loss(-g)] - prior * mean_P[loss(-g)]),
 
 the logistic loss and the class prior from the labels; where the second term is negative its gradient is walked back.
 The mean of their probabilities is the score. Samples are bounded: about ``POSITIVES`` and ``UNLABELLED`` rows by a hash
-of the id; the vocabulary is bounded by ``WORDS``. All rows are scored.
+of id and text (equal rows count once); they are trained on in one task, the driver gets the weights. All rows are scored.
 
 NULL and empty texts have no words and score what the bias says. Without a positive every score is the prior's. Rows
 that share a doc_id share a label: toxic if one label says so. Result columns replace columns of the same name.
@@ -27,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.sampling import about
+from loomwright.llm.sampling import about, drawn
 from loomwright.llm.words import slices
 
-POSITIVES, UNLABELLED, WORDS, LEAST_POSITIVES = 3000, 9000, 8192, 3
+POSITIVES, UNLABELLED, LEAST_POSITIVES = 3000, 9000, 3
 MODELS, STEPS, RATE, DECAY, SMOOTH, SURE = 5, 200, 0.1, 2e-4, 0.5, 4.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -77,24 +76,27 @@ class _Rows:
         return np.bincount(self.at, g[self.of], self.width)
 
 
+def direction(w: np.ndarray, pos: _Rows, unl: _Rows, ratio: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient by weights and bias (last) of the corrected risk; of the negative part alone, turned round, where that is below zero."""
+    scaled, bias = w[:-1] * ratio, w[-1]
+    gp, gu = pos.times(scaled) + bias, unl.times(scaled) + bias
+    sp, su = _sigmoid(gp), _sigmoid(gu)
+    negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
+    # d loss(+g) = s - 1, d loss(-g) = s
+    toward, unlabelled, back = prior * (sp - 1) / pos.n, su / unl.n, prior * sp / pos.n
+    dp, du = (toward - back, unlabelled) if negative >= 0 else (back, -unlabelled)
+    return np.concatenate([(pos.back(dp) + unl.back(du)) * ratio, [dp.sum() + du.sum()]])
+
+
 def fit_one(pos: _Rows, unl: _Rows, ratio: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights by word and the bias of one non-negative PU model (Adam on the whole batch)."""
     width = len(ratio)
-    w, b = np.zeros(width + 1), np.log(prior / (1 - prior))
-    w[width] = b
+    w = np.zeros(width + 1)
+    w[width] = np.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        scaled = w[:width] * ratio
-        gp, gu = pos.times(scaled) + w[width], unl.times(scaled) + w[width]
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-        # d loss(+g) = s - 1, d loss(-g) = s
-        toward, unlabelled, back = prior * (sp - 1) / pos.n, su / unl.n, prior * sp / pos.n
-        if negative >= 0:
-            dp, du = toward - back, unlabelled
-        else:
-            dp, du = back, -unlabelled
-        grad = np.concatenate([(pos.back(dp) + unl.back(du)) * ratio + DECAY * w[:width], [dp.sum() + du.sum()]])
+        grad = direction(w, pos, unl, ratio, prior)
+        grad[:width] += DECAY * w[:width]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:width] * ratio, w[width]
@@ -114,7 +116,7 @@ def train(positive: pa.ListArray, unlabelled: pa.ListArray, prior: float, seed:
     sure = np.abs(rate_p - rate_u) / np.sqrt(both * (1 - both).clip(1e-9) * (1 / n_pos + 1 / n_unl))
     known = np.flatnonzero((df_p >= min(LEAST_POSITIVES, n_pos)) & (sure >= SURE))
     names = coded.dictionary.take(pa.array(known)).to_pylist()
-    order = sorted(range(len(known)), key=lambda k: (-sure[known[k]], names[k]))[:WORDS]
+    order = sorted(range(len(known)), key=lambda k: (-sure[known[k]], names[k]))
     names, known = [names[k] for k in order], known[order]
     ratio = np.log(rate_p[known] / rate_u[known])
     place = np.full(len(coded.dictionary), -1)
@@ -137,25 +139,48 @@ def _known_words(places: np.ndarray, docs: pa.ListArray) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    """Train on the rows that are not held out: whole texts, bounded samples."""
+    """Train on the rows that are not held out: whole texts, bounded samples, in one task; the driver gets the weights."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"] or 0.0
     pool = docs.select(F.col("doc_id"), F.col(text).alias("text")).filter("text is not null").filter(~held_out(F.col("doc_id")))
-
-    def words(df: DataFrame) -> pa.ListArray:
-        lists = df.select("text").mapInArrow(_word_lists, "words array<string>").toArrow().column(0)
-        return pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.string()))
-
+    # rows drawn go by id and text, so equal ones are drawn together and count once
     toxic = about(marks.filter("toxic = 1"), POSITIVES, "__id")
     # about POSITIVES ids and twice as many at most: of a proven size
-    positive = pool.join(F.broadcast(toxic.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi").limit(2 * POSITIVES)
-    return train(words(positive), words(about(pool, UNLABELLED, "doc_id")), share)
+    positive = pool.join(F.broadcast(toxic.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    unlabelled = drawn(pool, UNLABELLED, "doc_id", "text").dropDuplicates(["doc_id", "text"])
+    sides = [side.select("text", F.lit(role).alias("role")) for role, side in enumerate((positive, unlabelled))]
+    lists = sides[0].unionByName(sides[1]).mapInArrow(_word_lists, "role int, words array<string>")
+    got = lists.repartition(1).sortWithinPartitions("role", F.xxhash64("words")).mapInArrow(_trainer(share), "word string, weights array<double>").toArrow()
+    words, weights = got.column(0).to_pylist(), got.column(1).to_pylist()
+    if not words:  # no rows at all: the task had nothing to train on
+        return train(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.string())), share)
+    return Model({w: np.array(x) for w, x in zip(words, weights) if w is not None}, np.array(weights[words.index(None)]))
+
+
+def _trainer(prior: float):
+    """The whole sample in one task: a row for each known word, and one without a word for the biases."""
+
+    def run(batches):
+        sides = ([], [])
+        for batch in batches:
+            roles, lists = batch.column(0).to_numpy(), batch.column(1)
+            for role, held in enumerate(sides):
+                held.append(lists.filter(pa.array(roles == role)))
+        both = [pa.concat_arrays([pa.array([], pa.list_(pa.string())), *[x.cast(pa.list_(pa.string())) for x in held]]) for held in sides]
+        if len(both[0]) or len(both[1]):
+            model = train(*both, prior)
+            words = [None, *model.weights]
+            rows = [model.bias.tolist(), *[w.tolist() for w in model.weights.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(rows, pa.list_(pa.float64()))], ["word", "weights"])
+
+    return run
 
 
 def _word_lists(batches):
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
+        lists = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.string()))], ["role", "words"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

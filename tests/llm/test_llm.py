@@ -312,3 +312,46 @@ def test_pipeline(spark, tmp_path):
     want = docs.count()
     out = P.run(spark, str(tmp_path))
     assert out.count() == want and "ids" in out.columns
+
+
+def plain_risk(w, b, pos, unl, prior):
+    """The corrected risk of weights on dense rows, with the part of the negatives left out where it is below zero."""
+    def loss(g, sign):
+        return np.mean(np.log1p(np.exp(-sign * g)))
+
+    gp, gu = pos @ w + b, unl @ w + b
+    negative = loss(gu, -1) - prior * loss(gp, -1)
+    return prior * loss(gp, 1) + max(negative, 0.0), negative
+
+
+def test_toxicity_direction_is_the_gradient_of_the_risk():
+    rng, seen = np.random.default_rng(3), set()
+    for prior in (0.05, 0.3, 0.9):
+        for _ in range(6):
+            pos, unl = (rng.random((40, 6)) < .4).astype(float), (rng.random((90, 6)) < .3).astype(float)
+            sparse = [toxicity._Rows([np.flatnonzero(r) for r in side], 6) for side in (pos, unl)]
+            at = rng.normal(0, 1.5, 7)
+            _, negative = plain_risk(at[:6], at[6], pos, unl, prior)
+            seen.add(negative >= 0)
+
+            def aim(x):
+                risk, negative = plain_risk(x[:6], x[6], pos, unl, prior)
+                return risk if negative >= 0 else -negative
+
+            slope = [(aim(at + 1e-6 * e) - aim(at - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+            assert np.allclose(toxicity.direction(at, *sparse, np.ones(6), prior), slope, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_toxicity_score_equals_a_dense_version(spark):
+    rows = [(k, prose(30, 300 + k) + (" badword" if k % 5 == 0 else " good thing"), "en", "a", 0, "", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.learn(docs, spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(300)], "doc_id bigint, quality int, toxic int"))
+    names = sorted(model.weights)
+    table = np.array([model.weights[n] for n in names])
+    dense = np.array([[float(n in set(re.findall(r"[^\W\d_]+", t.lower()))) for n in names] for _, t, *_ in rows])
+    want = (1 / (1 + np.exp(-(dense @ table + model.bias)))).mean(axis=1)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert names and np.allclose([got[k] for k in range(300)], want, atol=1e-12)
+    again = toxicity.learn(docs.repartition(5), spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(300)], "doc_id bigint, quality int, toxic int"))
+    assert again.weights.keys() == model.weights.keys() and all(np.allclose(again.weights[n], model.weights[n]) for n in names)
