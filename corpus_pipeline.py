@@ -2,7 +2,8 @@
 sources are mixed to their targets, texts become token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept. All but the last return
-the columns of documents. Rows with NULL text stay until the last stage, where they have no ids.
+the columns of documents, and no others. Rows with NULL text stay until the last stage, where they have no ids. Repeated
+rows count each, but for the second stage, which keeps one; ties there go to the smallest id. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays; rows without an id stay as they are."""
+    """The document with the smallest id of each near-duplicate group stays; rows without an id stay as they are.
+
+    Of rows that share id and text the one with the least other columns stays; other texts under that id stay as well.
+    """
     groups = jaccard.join(docs)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    kept = rows.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
     return kept.unionByName(docs.select(*COLUMNS).filter("doc_id is null")).select(*COLUMNS)
 
 
