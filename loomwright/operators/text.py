@@ -7,10 +7,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-import numpy as np
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +15,15 @@ from loomwright.functions.text import (
     BULLET, FENCE, HASHTAG, HEADER, MENTION, URL, WORD, clean_full, clean_light, count_of, squeeze, strip_accents,
     url_unquote, words,
 )
+from loomwright.operators.lowrank import Svd
 from loomwright.plans.quantile import column_quantiles
-from loomwright.plans.scan import row_numbers
+from loomwright.plans.store import cut
 
 # fixed values: turn separator, field marks and prompt lines
 TURN_SEPARATOR = "\n\n"
 FIELD_MARKS = ("Prompt: ", "Response A: ", "Response B: ")
 PROMPT_LINES = ("Keyword: ", "Tweet: ", "\nAnswer (1 or 0):")
 PADDING = " "
-DENSE_TERMS = 4096  # widest Gram matrix held on the driver (128 MB)
 
 
 def build_field(text, keyword=None, light: bool = False) -> Column:
@@ -104,12 +100,12 @@ def char_counts(df: DataFrame, id_col: str, text: str, low: int = 3, high: int =
     tok = df.select(id_col, F.explode(words(F.lower(F.col(text)))).alias("t")).groupBy(id_col, "t").agg(row_count().alias("n"))
     padded = tok.select(id_col, "n", F.concat(F.lit(PADDING), "t", F.lit(PADDING)).alias("w"))
 
-    def cut(size: int) -> Column:
+    def pieces_of(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("w") - size + 1, F.lit(1)))
         pieces = F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(size)))
         return F.when(F.length("w") >= size, pieces).otherwise(F.array().cast("array<string>"))
 
-    grams = [cut(n) for n in range(low, high + 1)]
+    grams = [pieces_of(n) for n in range(low, high + 1)]
     g = padded.select(id_col, "n", F.explode(F.concat(*grams)).alias("term"))
     return g.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
@@ -132,31 +128,31 @@ def tfidf(tf: DataFrame, df_table: DataFrame, id_col: str, n_docs: int) -> DataF
     return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
-def svd_embed(weights: DataFrame, df_table: DataFrame, id_col: str, k: int) -> DataFrame:
-    """Uncentred truncated SVD of the TF-IDF rows, projected and scaled to unit length: (id, v array).
+def svd_embed(weights: DataFrame, id_col: str, k: int, **search) -> DataFrame:
+    """Uncentred truncated SVD of the TF-IDF rows, projected and scaled to unit length: (id, v array)."""
+    found = Svd(weights, id_col, "term", "weight", k, **search).project(weights, id_col, "term", "weight")
+    return found.select(id_col, unit(F.col("v")).alias("v"))
 
-    The factor loadings have one row per vocabulary term (bounded by max_features); documents never
-    leave the executors.
+
+def pair_block(pairs: DataFrame, id_col: str, k: int, min_df: int = 3, **search) -> DataFrame:
+    """Embeddings of a prompt ``p`` and two answers ``a``, ``b``: (id, a, b, d = a - b, p, cos_ab, cos_pa, cos_pb).
+
+    Vocabulary, document frequencies and the answers' SVD come from both answers together, the prompts have an SVD of
+    their own over the same terms. A text without known terms is the zero vector, its cosines are NULL.
     """
-    index = row_numbers(df_table.select("term"), [], [F.col("term")], "__n", chunk=F.ascii("term")).select(
-        "term", (F.col("__n") - 1).cast("int").alias("idx"))
-    n_terms = index.count()
-    coords = weights.join(index, "term")
-    as_vector = F.udf(lambda cells: Vectors.sparse(n_terms, sorted((c["idx"], c["weight"]) for c in cells)), VectorUDT())
-    rows = coords.groupBy(id_col).agg(as_vector(F.collect_list(F.struct("idx", "weight"))).alias("v"))
-    k = min(k, n_terms - 1)
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.fromML(r["v"])), numCols=n_terms)
-    if n_terms <= DENSE_TERMS:
-        # one pass: the terms-by-terms Gram matrix, its leading eigenvectors on the driver
-        _, vec = np.linalg.eigh(np.asarray(matrix.computeGramianMatrix().toArray()))
-        v = vec[:, ::-1][:, :k]
-    else:
-        v = np.asarray(matrix.computeSVD(k, computeU=False).V.toArray())
-    spark = weights.sparkSession
-    load = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "idx int, l array<double>")
-    parts = coords.join(load, "idx").select(id_col, *[(F.col("weight") * F.get("l", F.lit(j))).alias(f"c{j}") for j in range(v.shape[1])])
-    summed = parts.groupBy(id_col).agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(v.shape[1])])
-    return summed.select(id_col, unit(F.array(*[f"c{j}" for j in range(v.shape[1])])).alias("v"))
+    sides = [pairs.select(F.col(id_col).alias("id"), F.lit(s).alias("side"), F.coalesce(F.col(s), F.lit("")).alias("text")) for s in ("a", "b", "p")]
+    texts = cut(sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("key", F.concat_ws(":", "side", "id")))
+    tf = cut(word_counts(texts, "key", "text"))
+    answers = tf.filter(~F.col("key").startswith("p:"))
+    vocab = cut(document_frequency(answers, min_df))
+    weights = cut(tfidf(tf, vocab, "key", texts.filter("side <> 'p'").count()))
+    prompt = F.col("key").startswith("p:")
+    both = svd_embed(weights.filter(~prompt), "key", k, **search).unionByName(svd_embed(weights.filter(prompt), "key", k, **search))
+    rows = texts.join(both, "key", "left").groupBy("id").agg(*[F.first(F.when(F.col("side") == s, F.col("v")), True).alias(s) for s in ("a", "b", "p")])
+    zero = F.array_repeat(F.lit(0.0), k)
+    full = rows.select("id", *[F.coalesce(F.when(F.size(s) == k, F.col(s)), zero).alias(s) for s in ("a", "b", "p")])
+    return full.select(F.col("id").alias(id_col), "a", "b", vector_difference("a", "b").alias("d"), "p",
+                       cosine("a", "b").alias("cos_ab"), cosine("p", "a").alias("cos_pa"), cosine("p", "b").alias("cos_pb"))
 
 
 # ---- vectors -----------------------------------------------------------------------------------

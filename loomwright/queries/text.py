@@ -176,14 +176,25 @@ def txt_tfidf_char(spark, d):
     return _summary(T.tfidf(tf, T.document_frequency(tf, 3), "doc_id", doc.count()))
 
 
+SVD_DIMS = 64
+
+
 @query("txt_svd")
 def txt_svd(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
     tf = cut(T.word_counts(doc, "doc_id", "text"))
-    vocab = cut(T.document_frequency(tf, 3, 2000))
-    weights = cut(T.tfidf(tf, vocab, "doc_id", doc.count()))
-    out = T.svd_embed(weights, vocab, "doc_id", 16)
-    return out.select("doc_id", *[F.get("v", F.lit(i)).alias(f"svd_{i}") for i in range(16)])
+    weights = cut(T.tfidf(tf, T.document_frequency(tf, 3), "doc_id", doc.count()))
+    out = T.svd_embed(weights, "doc_id", SVD_DIMS)
+    return out.select("doc_id", *[F.get("v", F.lit(i)).alias(f"svd_{i}") for i in range(SVD_DIMS)])
+
+
+@query("txt_svd_pairs")
+def txt_svd_pairs(spark, d):
+    """Each conversation's first text as prompt, the next two as answers."""
+    c = table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(
+        *[F.max(F.when(C("turn") == t, C("text"))).alias(n) for t, n in enumerate("pab")])
+    out = T.pair_block(c, "conv_id", SVD_DIMS)
+    return out.select("conv_id", *[F.get(s, F.lit(i)).alias(f"svd_{s}{i}") for s in "abdp" for i in range(SVD_DIMS)], "cos_ab", "cos_pa", "cos_pb")
 
 
 def vector_pairs(spark, d):
