@@ -8,10 +8,10 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.expr import row_count
-from loomwright.functions.text import WORD
 from loomwright.operators.history import class_weights
 from loomwright.operators.metrics import roc_auc
 from loomwright.operators.sets import train_side, valid_side
@@ -123,23 +122,6 @@ def svc(reg: float = 0.1):
     return fit
 
 
-def naive_bayes(alpha: float = 0.3):
-    def fit(tr: DataFrame):
-        return NaiveBayes(featuresCol="features", labelCol="y", smoothing=alpha, modelType="complement").fit(tr)
-
-    return fit
-
-
-def text_vectors(train: DataFrame, df: DataFrame, text: str, vocab: int = 5000) -> DataFrame:
-    """TF-IDF vectors with the vocabulary and document frequencies of the training side."""
-    def tok(x):
-        return x.withColumn("tokens", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab, minDF=2.0).fit(tok(train))
-    idf = IDF(inputCol="tf", outputCol="features").fit(cv.transform(tok(train)))
-    return idf.transform(cv.transform(tok(df))).drop("tokens", "tf")
-
-
 def per_label(df: DataFrame, labels: Sequence[str], fit: Callable[[DataFrame], object], keep: Sequence[str]) -> DataFrame:
     """One model per label; a label with a single value gets its constant prior."""
     rates = df.agg(*[F.avg(F.col(l).cast("double")).alias(l) for l in labels]).first()

@@ -10,6 +10,7 @@ from loomwright.operators import decide as D
 from loomwright.operators import encode as E
 from loomwright.operators import models as ML
 from loomwright.operators import neighbours as N
+from loomwright.operators import text_models as TM
 from loomwright.queries.fixtures import scores_wide, split_col, split_lines
 from loomwright.queries.history import rounded
 from loomwright.queries.registry import query
@@ -97,20 +98,34 @@ def ml_ovr_labels(spark, d):
     return ML.per_label(ML.assemble(c, ["len", "odd"]), ["user", "assistant", "always"], ML.logistic(), ["conv_id", "turn"])
 
 
-def text_matrix(spark, d):
-    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
+def labelled_texts(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
         C("doc_id").alias("row_id"), C("quality").cast("double").alias("y"), "text", (C("doc_id") % 3).cast("int").alias("fold"))
-    return ML.text_vectors(t, t, "text")
 
 
 @query("ml_svc")
 def ml_svc(spark, d):
-    return ML.oof_loop(text_matrix(spark, d), FOLDS, ML.svc(), ["row_id", "y"])
+    return ML.oof_loop(labelled_texts(spark, d), FOLDS, ML.svc(), ["row_id", "y"], lambda: TM.hashed_tfidf("text"))
 
 
-@query("ml_nb")
+_KINDS = """w0 AS (SELECT row_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM docs),
+  k0 AS (SELECT row_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t FROM docs), p0 AS (SELECT row_id, ' ' || t || ' ' AS w, count(*) AS n FROM k0 WHERE t <> '' GROUP BY 1, 2),
+  tf AS (SELECT row_id, 'word' AS kind, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM w0 UNION ALL SELECT row_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w0) GROUP BY ALL
+    UNION ALL SELECT row_id, 'char', term, sum(n) FROM (SELECT row_id, n, unnest(flatten(""" + "[" + ", ".join(
+    f"CASE WHEN length(w) >= {n} THEN list_transform(range(1, length(w) - {n} + 2), lambda i: substr(w, i, {n})) ELSE [] END" for n in (3, 4, 5)) + "])) AS term FROM p0) GROUP BY ALL)"
+
+
+@query("ml_nb", f"""WITH docs AS (SELECT doc_id AS row_id, quality::DOUBLE AS y, text, (doc_id % 3)::INT AS fold FROM labels JOIN documents USING (doc_id)), {_KINDS},
+  m AS (SELECT unnest([0, 1, 2]) AS f), size AS (SELECT f, count(*) FILTER (fold <> f) AS n FROM docs, m GROUP BY 1),
+  dfs AS (SELECT f, kind, term, count(*) AS df FROM tf JOIN docs USING (row_id) JOIN m ON fold <> f GROUP BY ALL HAVING count(*) >= CASE kind WHEN 'word' THEN 2 ELSE 3 END),
+  raw AS (SELECT f, row_id, kind, term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (kind, term) JOIN size USING (f)),
+  x AS (SELECT f, row_id, kind, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, row_id, kind)) AS w FROM raw),
+  s AS (SELECT f, kind, term, coalesce(sum(w) FILTER (fold <> f AND y = 1), 0) + 0.3 AS s1, coalesce(sum(w) FILTER (fold <> f AND y = 0), 0) + 0.3 AS s0 FROM x JOIN docs USING (row_id) GROUP BY ALL),
+  c AS (SELECT f, kind, term, ln(s1 / sum(s1) OVER (PARTITION BY f)) - ln(s0 / sum(s0) OVER (PARTITION BY f)) AS c FROM s),
+  g AS (SELECT row_id, sum(w * c) AS g FROM x JOIN docs USING (row_id) JOIN c USING (f, kind, term) WHERE fold = f GROUP BY 1)
+  SELECT row_id, y, fold AS fold_no, round(1 / (1 + exp(-coalesce(g, 0))), 6) AS score FROM docs LEFT JOIN g USING (row_id)""")
 def ml_nb(spark, d):
-    return ML.oof_loop(text_matrix(spark, d), FOLDS, ML.naive_bayes(), ["row_id", "y"])
+    return rounded(TM.complement_nb(labelled_texts(spark, d), "row_id", "text", FOLDS), 6)
 
 
 @query("ml_mlp")
