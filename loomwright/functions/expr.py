@@ -59,11 +59,6 @@ def hash_key(*ids, seed: int | str = "") -> Column:
     return F.md5(F.concat(text, F.lit(str(seed))))
 
 
-def hash_prefix(hex_text, digits: int = 4) -> Column:
-    """Leading hex digits as a number: an order-keeping, evenly filled chunk id."""
-    return F.conv(F.substring(col(hex_text), 1, digits), 16, 10).cast("int")
-
-
 def hash_unit(hex_text) -> Column:
     """First eight hex digits mapped to [0, 1)."""
     return F.conv(F.substring(col(hex_text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -87,6 +82,17 @@ def bucket_index(x, edges: Sequence[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
+def place_in(x: Column, edges: Column) -> Column:
+    """How many values of a sorted array column are <= x, by binary search (arrays of up to two to the 30)."""
+    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
+
+    def step(low, width):
+        probe = low + width
+        return F.when((probe <= F.size(edges)) & (F.get(edges, probe - 1) <= x), probe).otherwise(low)
+
+    return F.aggregate(F.filter(steps, lambda s: s <= F.size(edges)), F.lit(0), step)
+
+
 def right_closed_bin(x, edges: Sequence[float]) -> Column:
     """Interval number for right-closed bins: count of inner edges strictly below x (NULL stays)."""
     x = col(x)

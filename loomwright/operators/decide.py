@@ -24,7 +24,7 @@ def threshold_f1(df: DataFrame, keys: Sequence[str], score: str = "score", y: st
     hits = cumulative_hits(df, keys, score, y)
     total = df.groupBy(*keys).agg(F.sum(F.col(y).cast("long")).alias("P"))
     # rows with score >= this distinct score are the positives of the midpoint just below it
-    pairs = lookback_windows(hits, keys, [F.col(score)], 1, lambda w: {"below": F.lag(score).over(w)}, chunk_on=F.col(score))
+    pairs = lookback_windows(hits, keys, [F.col(score)], 1, lambda w: {"below": F.lag(score).over(w)})
     s = F.col(score)
     nothing = F.lit(0).cast("long")
     options = pairs.select(*keys, F.explode(F.array(

@@ -38,18 +38,13 @@ def decode_label(x, classes: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(c) for c in classes]), col(x))
 
 
-def _text_chunk(c: Column) -> Column:
-    """Leading bytes of a text as a number; keeps binary text order."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 8), 8, "0"), 16, 10).cast("long")
-
-
 def level_union(frames: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Dense codes of the sorted levels over several tables: (level, code)."""
     both = None
     for df, c in frames:
         one = df.select(F.col(c).alias("level")).filter("level is not null")
         both = one if both is None else both.unionByName(one)
-    numbered = row_numbers(both.distinct(), [], [F.col("level")], "__n", chunk=_text_chunk(F.col("level")))
+    numbered = row_numbers(both.distinct(), [], [F.col("level")], "__n")
     return numbered.select("level", (F.col("__n") - 1).cast("int").alias("code"))
 
 

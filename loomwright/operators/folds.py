@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import bucket_index, hash_key, hash_prefix, literal_map, row_count
+from loomwright.functions.expr import bucket_index, hash_key, literal_map, row_count
 from loomwright.plans.scan import row_numbers, running
 from loomwright.plans.store import load_or_build
 
@@ -18,7 +18,7 @@ def _fold(n: Column, k: int) -> Column:
 
 def _numbered(df: DataFrame, keys: Sequence[str], id_col: str, seed, name: str = "__n") -> DataFrame:
     keyed = df.withColumn("__h", hash_key(id_col, seed=seed))
-    return row_numbers(keyed, keys, [F.col("__h"), F.col(id_col)], name, chunk=hash_prefix("__h")).drop("__h")
+    return row_numbers(keyed, keys, [F.col("__h"), F.col(id_col)], name).drop("__h")
 
 
 def stratified(df: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:
@@ -35,7 +35,7 @@ def repeat_seeds(df: DataFrame, id_col: str, label: str, k: int, seeds: Sequence
     """A stratified fold table per seed."""
     rows = df.select(id_col, label, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
     keyed = rows.withColumn("__h", F.md5(F.concat(F.col(id_col).cast("string"), F.col("seed").cast("string"))))
-    n = row_numbers(keyed, ["seed", label], [F.col("__h"), F.col(id_col)], "__n", chunk=hash_prefix("__h"))
+    n = row_numbers(keyed, ["seed", label], [F.col("__h"), F.col(id_col)], "__n")
     return n.select(id_col, "seed", _fold(F.col("__n"), k).alias("fold"))
 
 
@@ -80,7 +80,7 @@ def group_folds(df: DataFrame, group: str, k: int, max_heavy: int = 10_000) -> D
         acc += room[f]
         edges.append(acc)
     keyed = tail.withColumn("__h", hash_key(group))
-    cum = running(keyed, [], [F.col("__h"), F.col(group)], sums={"__c": F.col("n")}, chunk=hash_prefix("__h"))
+    cum = running(keyed, [], [F.col("__h"), F.col(group)], sums={"__c": F.col("n")})
     spread = cum.withColumn("fold", bucket_index(F.col("__c") - F.col("n") / 2.0, edges)).select(group, "n", "fold")
     return top.unionByName(spread)
 

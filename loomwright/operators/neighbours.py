@@ -56,7 +56,7 @@ def bucketed(points: DataFrame, id_col: str, vec: str, tables: int = TABLES, buc
 
     source = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col("base").cast("boolean").alias("base"))
     coded = cut(source.mapInPandas(run, "id long, v array<double>, base boolean, tab int, code long, along double"))
-    placed = row_numbers(coded.select("id", "tab", "code", "along"), ["tab"], [F.col("code"), F.col("along"), F.col("id")], "at", chunk_on=F.col("code"))
+    placed = row_numbers(coded.select("id", "tab", "code", "along"), ["tab"], [F.col("code"), F.col("along"), F.col("id")], "at")
     many = max(1, -(-n // bucket))
     places = placed.select("id", "tab", F.floor((F.col("at") - 1) * many / n).alias("bucket"))
     return coded.select("id", "v", "base", "tab").join(places, ["id", "tab"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import hash_key, hash_prefix, hash_unit, row_count
+from loomwright.functions.expr import hash_key, hash_unit, row_count
 from loomwright.plans.scan import row_numbers
 
 
@@ -35,7 +35,7 @@ def replace_splits(old: DataFrame, new: DataFrame, column: str = "split") -> Dat
 def hash_numbered(df: DataFrame, keys: Sequence[str], id_col: str, seed: int | str = "") -> DataFrame:
     """Rows numbered per key in hash order (column ``__n``): the base of every repeatable draw."""
     keyed = df.withColumn("__h", hash_key(id_col, seed=seed))
-    return row_numbers(keyed, keys, [F.col("__h"), F.col(id_col)], "__n", chunk=hash_prefix("__h")).drop("__h")
+    return row_numbers(keyed, keys, [F.col("__h"), F.col(id_col)], "__n").drop("__h")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int | str = "") -> DataFrame:

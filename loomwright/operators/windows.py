@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.expr import row_count
 from loomwright.plans.quantile import group_quantiles
-from loomwright.plans.scan import hot_keys, lookback_windows, running
+from loomwright.plans.scan import chunk_edges, lookback_windows, running
 from loomwright.plans.store import cut
 
 
-def micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def lags(df: DataFrame, key: str, ts: str, value: str, steps: Sequence[int]) -> DataFrame:
     return lookback_windows(
-        df, [key], [F.col(ts)], max(steps), lambda w: {f"lag_{k}": F.lag(value, k).over(w) for k in steps}, chunk_on=micros(ts))
+        df, [key], [F.col(ts)], max(steps), lambda w: {f"lag_{k}": F.lag(value, k).over(w) for k in steps})
 
 
 def add_diffs(df: DataFrame, value: str, steps: Sequence[int]) -> DataFrame:
@@ -37,7 +33,7 @@ def rolling(df: DataFrame, key: str, ts: str, value: str, width: int, min_period
         seen = F.count(value).over(frame) >= min_periods
         return {"roll_mean": F.when(seen, F.avg(value).over(frame)), "roll_std": F.when(seen, F.stddev_samp(value).over(frame))}
 
-    out = lookback_windows(df, [key], [F.col(ts)], width, build, chunk_on=micros(ts))
+    out = lookback_windows(df, [key], [F.col(ts)], width, build)
     return out.withColumn("roll_z", (F.col(value) - F.col("roll_mean")) / (F.col("roll_std") + eps))
 
 
@@ -46,14 +42,14 @@ def flatline_run(df: DataFrame, key: str, ts: str, value: Column, out: str = "ru
 
     position - (latest position where the value changed) + 1, both as running aggregates.
     """
-    hot = hot_keys(df, [key])
-    order, on = [F.col(ts)], micros(ts)
+    order = [F.col(ts)]
+    hot = chunk_edges(df, [key], order)
     marked = lookback_windows(
         df.withColumn("__v", value), [key], order, 1,
         lambda w: {"__change": F.lag(F.lit(1)).over(w).isNull() | ~F.col("__v").eqNullSafe(F.lag("__v").over(w))},
-        chunk_on=on, hot=hot)
-    placed = running(marked, [key], order, sums={"__p": F.lit(1).cast("long")}, chunk_on=on, hot=hot)
-    last = running(placed, [key], order, maxes={"__s": F.when(F.col("__change"), F.col("__p"))}, chunk_on=on, hot=hot)
+        hot=hot)
+    placed = running(marked, [key], order, sums={"__p": F.lit(1).cast("long")}, hot=hot)
+    last = running(placed, [key], order, maxes={"__s": F.when(F.col("__change"), F.col("__p"))}, hot=hot)
     return last.withColumn(out, (F.col("__p") - F.col("__s") + 1).cast("int")).drop("__v", "__change", "__p", "__s")
 
 
@@ -110,7 +106,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str, y: str) -> Data
 
 def cumulative_hits(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
     """Cumulative true and false positives by descending score, one row per distinct score."""
-    keys = list(keys)
+    keys, s = list(keys), F.col(score)
     counts = score_counts(df, keys, score, y)
-    return running(counts, keys, [F.col(score).desc()], chunk_on=F.col(score), descending=True,
+    return running(counts, keys, [s.desc()], by=[s.isNull(), ~F.isnan(s.cast("double")), -s],
                    sums={"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")})

@@ -1,8 +1,10 @@
 """Ordered windows that stay bounded when one key holds most of the rows.
 
-A plain window sorts a whole key in one task. Here a key with more rows than the group limit is cut
-into chunks of its order value; every chunk is scanned on its own and the totals of the chunks before
-it are added back. Small keys keep the ordinary single-shuffle window.
+A plain window sorts a whole key in one task. Here a key with more rows than the group limit is cut into chunks of about
+that many rows; every chunk is scanned on its own and the totals of the chunks before it are added back. Small keys keep
+the ordinary single-shuffle window. The edges between a key's chunks are quantiles of a sample of that key's own rows,
+taken of the whole order (all its columns, then a hash of the row), so that neither a narrow band of values nor ties make
+a chunk larger. Only rows that are equal in every column can't be parted.
 """
 
 from __future__ import annotations
@@ -11,51 +13,61 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomwright.functions.expr import bucket_index, col
+from loomwright.functions.expr import place_in
+from loomwright.plans.store import cut
 from loomwright.session import group_row_limit
 
-_HOT = "__hot"
+_EDGES = "__edges"
 _CHUNK = "__chunk"
 _CUT = "__cut"
 _LOOK = object()  # "find the hot keys yourself"
-
-
-def chunk_count(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4096, 4 * parts))
-
-
-def order_edges(df: DataFrame, value: Column, n: int | None = None) -> list[float]:
-    """Approximate quantile cut points of the order value; only their number is bounded, not the data."""
-    n = n or chunk_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(value.cast("double"), probs, 20000).alias("e")).first()
-    return sorted(set(row["e"] or []))
+#: Sampled rows for each chunk: its size is then within a quarter of the limit, as a rule.
+SAMPLES = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
-    """Keys above the row limit (at most rows/limit of them), or None when there are none."""
+    """(keys, __n): keys above the row limit as a written table of at most rows/limit rows, or None when there are none."""
     limit = limit or group_row_limit(df.sparkSession)
-    if not keys:
-        return df.limit(1).select(F.lit(True).alias(_HOT)) if df.count() > limit else None
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-        .select(*keys, F.lit(True).alias(_HOT))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    hot = cut(counts)
     return None if hot.isEmpty() else hot
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+def _place(df: DataFrame, by: Sequence[Column]) -> Column:
+    """The order of a row as one comparable value; ties go by a hash of the row."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], F.xxhash64(*plain).alias("tie"))
+
+
+def _matched(df: DataFrame, keys: Sequence[str], other: DataFrame, how: str) -> DataFrame:
+    """NULL-safe join on the keys; without keys ``other`` has one row, which is broadcast."""
     if not keys:
-        return df.withColumn(_HOT, F.lit(True))
-    tag = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.col(_HOT))
-    cond = None
+        one = F.broadcast(other.withColumn("__all", F.lit(0)))
+        return df.withColumn("__all", F.lit(0)).join(one, "__all", how).drop("__all")
+    tagged = other.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    on = None
     for k in keys:
-        c = df[k].eqNullSafe(tag[f"__h_{k}"])
-        cond = c if cond is None else cond & c
-    # the hot-key table has at most rows/limit entries
-    return df.join(F.broadcast(tag), cond, "left").drop(*[f"__h_{k}" for k in keys])
+        each = df[k].eqNullSafe(tagged[f"__h_{k}"])
+        on = each if on is None else on & each
+    return df.join(tagged, on, how).drop(*[f"__h_{k}" for k in keys])
+
+
+def chunk_edges(df: DataFrame, keys: Sequence[str], by: Sequence[Column], limit: int | None = None) -> DataFrame | None:
+    """(keys, __edges): where the chunks of each hot key begin, or None when no key is hot."""
+    limit, keys = limit or group_row_limit(df.sparkSession), list(keys)
+    hot = hot_keys(df, keys, limit)
+    if hot is None:
+        return None
+    placed = df.select(*keys, _place(df, by).alias("__at"))
+    share = min(1.0, SAMPLES / limit)
+    drawn = placed if share == 1.0 else placed.filter(F.pmod(F.xxhash64("__at"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = _matched(drawn, keys, hot, "inner").groupBy(*keys).agg(F.sort_array(F.collect_list("__at")).alias("__s"), F.max("__n").alias("__n"))
+    many = F.ceil(F.col("__n") / limit)
+    picks = F.when((many > 1) & (F.size("__s") > 0), F.sequence(F.lit(1).cast("long"), many - 1)).otherwise(F.array().cast("array<bigint>"))
+    edges = F.array_distinct(F.transform(picks, lambda i: F.get("__s", F.floor(i * F.size("__s") / many).cast("int"))))
+    return cut(sample.select(*keys, edges.alias(_EDGES)))
 
 
 def running(
@@ -64,19 +76,19 @@ def running(
     order: Sequence[Column],
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
-    chunk: Column | None = None,
-    chunk_on: Column | None = None,
-    descending: bool = False,
+    by: Sequence[Column] | None = None,
     limit: int | None = None,
     hot=_LOOK,
+    flag: str | None = None,
 ) -> DataFrame:
     """Add running sums/maxima (current row included) per key in the given total order.
 
-    ``chunk`` is an order-keeping chunk id if one is known (e.g. a hash prefix); otherwise chunks come
-    from quantile edges of ``chunk_on``. ``descending`` says that ``order`` runs down ``chunk_on``.
+    ``by`` are columns whose ascending order (NULL first) is ``order``; the order's own columns if those are plain.
+    ``hot`` is a result of ``chunk_edges``; ``flag`` names a column that tells rows of hot keys.
     """
     sums, maxes, keys = sums or {}, maxes or {}, list(keys)
-    hot = hot_keys(df, keys, limit) if hot is _LOOK else hot
+    by = list(by or order)
+    hot = chunk_edges(df, keys, by, limit) if hot is _LOOK else hot
     frame = (Window.unboundedPreceding, Window.currentRow)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
@@ -84,14 +96,11 @@ def running(
             "*",
             *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
             *[F.max(c).over(w).alias(n) for n, c in maxes.items()],
+            *([F.lit(False).alias(flag)] if flag else []),
         )
-    if chunk is None:
-        value = chunk_on if chunk_on is not None else order[0]
-        chunk = bucket_index(value.cast("double"), order_edges(df, value))
-        if descending:
-            chunk = -chunk
-    marked = _mark_hot(df, keys, hot)
-    marked = marked.withColumn(_CHUNK, F.when(F.col(_HOT), chunk).otherwise(F.lit(0))).drop(_HOT)
+    placed = _matched(df.withColumn("__at", _place(df, by)), keys, hot, "left")
+    chunk = F.when(F.col(_EDGES).isNotNull(), place_in(F.col("__at"), F.col(_EDGES))).otherwise(F.lit(0))
+    marked = placed.withColumns({_CHUNK: chunk, _CUT: F.col(_EDGES).isNotNull()}).drop(_EDGES, "__at")
     part = [*keys, _CHUNK]
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
     local = marked.select(
@@ -103,21 +112,19 @@ def running(
         *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"__t_{n}") for n, c in maxes.items()],
     )
+    # a key has rows/limit chunks, so this window is as much smaller than the rows
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(p).alias(f"__c_{p}") for p in part],
+        *part,
         *[F.sum(f"__t_{n}").over(before).alias(f"__b_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__b_{n}") for n in maxes],
     )
-    cond = None
-    for p in part:
-        c = local[p].eqNullSafe(carry[f"__c_{p}"])
-        cond = c if cond is None else cond & c
-    joined = local.join(carry, cond, "left")
+    joined = _matched(local, part, carry, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"__l_{n}") + F.coalesce(F.col(f"__b_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(F.greatest(F.col(f"__l_{n}"), F.col(f"__b_{n}")), F.col(f"__b_{n}")).alias(n) for n in maxes],
+        *([F.col(_CUT).alias(flag)] if flag else []),
     )
 
 
@@ -132,7 +139,7 @@ def lookback_windows(
     order: Sequence[Column],
     depth: int,
     build: Callable[[Window], dict[str, Column]],
-    chunk_on: Column | None = None,
+    by: Sequence[Column] | None = None,
     limit: int | None = None,
     hot=_LOOK,
 ) -> DataFrame:
@@ -143,15 +150,14 @@ def lookback_windows(
     """
     limit = limit or group_row_limit(df.sparkSession)
     keys = list(keys)
-    hot = hot_keys(df, keys, limit) if hot is _LOOK else hot
+    hot = chunk_edges(df, keys, by or order, limit) if hot is _LOOK else hot
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in build(w).items()])
     size = max(limit, 2 * depth)
-    marked = _mark_hot(df, keys, hot).withColumnRenamed(_HOT, _CUT)
-    pos = row_numbers(marked, keys, order, "__pos", chunk_on=chunk_on, limit=limit, hot=hot)
+    pos = row_numbers(df, keys, order, "__pos", by=by, limit=limit, hot=hot, flag=_CUT)
     block = F.when(F.col(_CUT), F.floor((F.col("__pos") - 1) / size)).otherwise(F.lit(0)).cast("long")
-    feeds_next = F.col(_CUT).isNotNull() & (((F.col("__pos") - 1) % size) >= size - depth)
+    feeds_next = F.col(_CUT) & (((F.col("__pos") - 1) % size) >= size - depth)
     spread = (
         pos.withColumn("__own", block)
         .withColumn(
@@ -159,6 +165,6 @@ def lookback_windows(
             F.explode(F.when(feeds_next, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))),
         )
     )
-    w = Window.partitionBy(*keys, "__block").orderBy(*order)
+    w = Window.partitionBy(*keys, "__block").orderBy("__pos")
     out = spread.select("*", *[c.alias(n) for n, c in build(w).items()])
     return out.filter(F.col("__own") == F.col("__block")).drop("__own", "__block", "__pos", _CUT)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import hash_key, hash_prefix, row_count
+from loomwright.functions.expr import hash_key, row_count
 from loomwright.operators import joins as J
 from loomwright.plans.scan import row_numbers
 from loomwright.queries.fixtures import SCORES_WIDE, scores, split_col
@@ -60,7 +60,7 @@ def join_lookup_map(spark, d):
 def join_fold_table(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     keyed = o.select("o_orderkey", hash_key("o_orderkey", seed=7).alias("h"))
-    folds = row_numbers(keyed, [], [C("h")], "n", chunk=hash_prefix("h")).select("o_orderkey", ((C("n") - 1) % 5).cast("int").alias("fold"))
+    folds = row_numbers(keyed, [], [C("h")], "n").select("o_orderkey", ((C("n") - 1) % 5).cast("int").alias("fold"))
     return J.attach_folds(o, folds, "o_orderkey")
 
 

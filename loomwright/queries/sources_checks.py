@@ -30,8 +30,7 @@ def src_csv_project(spark, d):
      .write.option("header", True).option("timestampNTZFormat", fmt).csv(path))
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
     ev = read_csv(spark, path, schema, ["event_id", "ts", "user_id"], fmt)
-    chunk_on = F.unix_micros(F.col("ts").cast("timestamp"))
-    out = row_numbers(ev, ["user_id"], [F.col("ts")], "seq", chunk_on=chunk_on)
+    out = row_numbers(ev, ["user_id"], [F.col("ts")], "seq")
     return out.select("user_id", "event_id", F.hour("ts").alias("hour"), "seq")
 
 

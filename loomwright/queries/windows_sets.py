@@ -145,7 +145,7 @@ def topk_per_group(spark, d):
 def sort_entity_time(spark, d):
     from loomwright.plans.scan import row_numbers
 
-    return row_numbers(events(spark, d), ["user_id"], [C("ts")], "seq", chunk_on=W.micros("ts")).select("event_id", "user_id", "seq")
+    return row_numbers(events(spark, d), ["user_id"], [C("ts")], "seq").select("event_id", "user_id", "seq")
 
 
 @query("argmax_label", f"SELECT row_id, c AS label FROM {_TOP3} WHERE rk = 1")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomwright.operators import folds as FO
 from loomwright.operators import windows as W
 from loomwright.plans.quantile import column_quantiles, group_quantiles
-from loomwright.plans.scan import lookback_windows, running
+from loomwright.functions.expr import place_in
+from loomwright.plans.scan import _place, chunk_edges, lookback_windows, row_numbers, running
 
 
 def skewed(spark, n=400):
@@ -31,7 +32,7 @@ def test_running_descending(spark, small_groups):
     df = skewed(spark)
     w = Window.partitionBy("k").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("id", F.sum("v").over(w).alias("s"))
-    got = running(df, ["k"], [F.desc("t")], sums={"s": F.col("v")}, chunk_on=F.col("t"), descending=True).select("id", "s")
+    got = running(df, ["k"], [F.desc("t")], sums={"s": F.col("v")}, by=[-F.col("t")]).select("id", "s")
     assert got.exceptAll(want).count() == 0 and got.count() == 400
 
 
@@ -117,3 +118,28 @@ def test_group_folds_keep_rows_without_group(spark):
     for heavy in (10_000, 2):
         got = {r["g"]: (r["n"], r["fold"]) for r in FO.group_folds(df, "g", 3, max_heavy=heavy).collect()}
         assert {g: n for g, (n, _) in got.items()} == {1: 2, 2: 1, None: 3} and all(f is not None for _, f in got.values())
+
+
+def test_chunks_of_a_narrow_band_and_of_ties(spark):
+    """20,000 rows of one key in a narrow band, half of them with one and the same order value, beside a wide small key."""
+    rows = [(i, 1, 5.0 if i % 2 else 5.0 + i * 1e-9) for i in range(20_000)] + [(i, 2, float(i) * 1e6) for i in range(20_000, 20_300)] + [(-1, None, None)]
+    df = spark.createDataFrame(rows, "id long, k int, t double").repartition(5)
+    limit = 500
+    edges = chunk_edges(df, ["k"], [F.col("t")], limit)
+    assert [r["k"] for r in edges.collect()] == [1]
+    at = df.withColumn("at", _place(df, [F.col("t")]))
+    sizes = at.join(edges, "k").groupBy(place_in(F.col("at"), F.col("__edges")).alias("c")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * limit and sizes.count() >= 35
+    got = row_numbers(df, ["k"], [F.col("t")], "n", limit=limit)
+    assert sorted(r["n"] for r in got.filter("k = 1").collect()) == list(range(1, 20_001))
+    low = got.filter("k = 1").groupBy("t").agg(F.min("n").alias("a"), F.max("n").alias("b")).orderBy("t").collect()
+    assert all(x["b"] + 1 == y["a"] for x, y in zip(low, low[1:]))
+    assert got.filter("k is null").first()["n"] == 1
+
+
+def test_lookback_with_ties_and_texts(spark):
+    rows = [(i, 0, f"w{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k int, t string, v int")
+    got = lookback_windows(df, ["k"], [F.col("t"), F.col("id")], 2, lambda w: {"l": F.lag("v", 2).over(w)}, limit=10)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    assert got.exceptAll(df.withColumn("l", F.lag("v", 2).over(w))).count() == 0 and got.count() == 300
