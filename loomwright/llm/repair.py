@@ -64,7 +64,7 @@ def damage(rows: DataFrame) -> DataFrame:
 def ordered(rows: DataFrame) -> DataFrame:
     """(conv_id, pos from 1, turn, role, text) as a written table."""
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return cut(row_numbers(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], order, "pos", chunk_on=F.col("turn")))
+    return cut(row_numbers(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], order, "pos", by=[F.col(c) for c in ("turn", "role", "text")]))
 
 
 def _same(a: DataFrame, b: DataFrame, *names: str) -> tuple[DataFrame, Column]:
