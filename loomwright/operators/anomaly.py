@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -100,9 +101,9 @@ def mahalanobis(train: DataFrame, test: DataFrame, cols: Sequence[str], rounds:
 # ---- isolation forest --------------------------------------------------------------------------
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes as (feature, threshold, left, right, path length), leaves with feature -1."""
-    nodes: list[list] = [[-1, 0.0, -1, -1, 0.0]]
+def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, np.ndarray]:
+    """Nodes of a tree: the right child stands behind the left one, a leaf leads to itself and has a path length."""
+    nodes: list[list] = [[0, np.inf, 0, 0.0]]
     stack = [(0, np.arange(len(x)), 0)]
     while stack:
         at, rows, depth = stack.pop()
@@ -110,17 +111,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         lo, hi = part.min(axis=0), part.max(axis=0)
         usable = np.nonzero(hi > lo)[0]
         if depth >= limit or len(rows) <= 1 or not len(usable):
-            nodes[at][4] = depth + average_path(len(rows))
+            nodes[at] = [0, np.inf, at, depth + average_path(len(rows))]
             continue
         f = int(rng.choice(usable))
         t = float(rng.uniform(lo[f], hi[f]))
         left = part[:, f] < t
         if not left.any():
-            left = part[:, f] <= lo[f]
-        nodes[at][:4] = [f, t, len(nodes), len(nodes) + 1]
-        nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
-        stack += [(nodes[at][2], rows[left], depth + 1), (nodes[at][3], rows[~left], depth + 1)]
-    return [tuple(n) for n in nodes]
+            t = float(np.nextafter(lo[f], np.inf))
+            left = part[:, f] < t
+        nodes[at] = [f, t, len(nodes), 0.0]
+        nodes += [[0, np.inf, 0, 0.0], [0, np.inf, 0, 0.0]]
+        stack += [(nodes[at][2], rows[left], depth + 1), (nodes[at][2] + 1, rows[~left], depth + 1)]
+    feature, threshold, child, path = zip(*nodes)
+    return {"feature": np.array(feature, np.int32), "threshold": np.array(threshold), "child": np.array(child, np.int32), "path": np.array(path)}
 
 
 def average_path(n: float) -> float:
@@ -132,53 +135,103 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+_TREE_SAMPLE = "tree int, marks binary, points binary"
+_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _SPREAD[1]
+    h = (h ^ (h >> np.uint64(27))) * _SPREAD[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def _lowest(marks: np.ndarray, points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the lowest marks, ties by the points: the same of any split and order of the rows."""
+    order = np.lexsort((*points.T[::-1], marks))[:size]
+    return marks[order], points[order]
+
+
+def _tree_samples(rows: DataFrame, width: int, trees: int, size: int, seed: int) -> DataFrame:
+    """For every tree the ``size`` rows with its lowest hash marks, of each partition: samples that merge.
+
+    ``rows``: (mark, x array): a hash of the row and its numbers.
+    """
+    turn = _mixed((np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * _SPREAD[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, points = np.empty((0, trees), np.uint64), np.empty((0, trees, width))
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            x = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, width)
+            for at in range(0, len(own), 4096):
+                here = _mixed(own[at:at + 4096, None] ^ turn[None, :])
+                take = min(size, len(here))
+                pick = np.argpartition(here, take - 1, axis=0)[:take] if take < len(here) else np.broadcast_to(np.arange(take)[:, None], here.shape)
+                marks = np.concatenate([marks, np.take_along_axis(here, pick, axis=0)])
+                points = np.concatenate([points, x[at:at + 4096][pick]])
+                if len(marks) > size:
+                    keep = np.argpartition(marks, size - 1, axis=0)[:size]
+                    marks, points = np.take_along_axis(marks, keep, axis=0), np.take_along_axis(points, keep[:, :, None], axis=0)
+        if len(marks):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(trees), pa.int32()), pa.array([marks[:, t].tobytes() for t in range(trees)], pa.binary()),
+                pa.array([points[:, t].tobytes() for t in range(trees)], pa.binary())], ["tree", "marks", "points"])
+
+    return rows.mapInArrow(run, _TREE_SAMPLE)
+
+
 def isolation_forest(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], trees: int = 300, size: int = 256, seed: int = 42) -> DataFrame:
-    """Each tree grows in its own task on ``size`` distinct rows; scoring is vectorised over batches."""
-    n = train.count()
-    room = 4 * trees * size
-    # the forest's own subsampling: a hash draw of a bounded pool, renumbered
-    pool = train.select(id_col, *cols)
-    if n > room:
-        pool = pool.filter(hash_unit(hash_key(id_col, seed=f"pool{seed}")) < room / n)
-    numbered = cut(hash_numbered(pool, [], id_col, seed))
-    m = numbered.count()
-    take = min(size, m)
-    spark = train.sparkSession
-    step = next(s for s in range(int(m * 0.618) or 1, 2 * m + 2) if math.gcd(s, m) == 1)
-    draw = spark.range(trees * take).select(
-        (F.col("id") % trees).cast("int").alias("tree"), F.floor(F.col("id") / trees).alias("j"))
-    draw = draw.select("tree", (F.pmod(F.col("tree") * F.lit(take).cast("long") + F.col("j") * F.lit(step).cast("long"), F.lit(m)) + 1).alias("__n"))
-    sample = draw.join(numbered, "__n")
-    names, limit = list(cols), math.ceil(math.log2(max(2, take)))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("__n")[names].to_numpy(dtype=float)
-        nodes = _grow(x, np.random.default_rng([seed, tree]), limit)
-        return pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"]).assign(tree=tree, node=range(len(nodes)))
-
-    # at most trees * 2 * size node rows reach the driver
-    forest = sample.groupBy("tree").applyInPandas(
-        grow, "feature int, threshold double, left int, right int, path double, tree int, node int").toPandas().sort_values(["tree", "node"])
-    grown = [tuple(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")) for _, g in forest.groupby("tree")]
-    norm = average_path(take)
+    """Each tree grows on the ``size`` rows with its lowest hashes of id and seed, drawn from all rows at any table size.
+
+    Rows of equal id and numbers are drawn together. Trees stand in one flat array of nodes; a batch of rows walks all of
+    them together, level by level.
+    """
+    names, width, limit = list(cols), len(cols), math.ceil(math.log2(max(2, size)))
+    numbers = F.array(*[F.col(c).cast("double") for c in names])
+    samples = _tree_samples(train.select(F.xxhash64(F.col(id_col), *[F.col(c).cast("double") for c in names]), numbers), width, trees, size, seed)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def grown():
+            nodes = _grow(points, np.random.default_rng([seed, tree]), limit)
+            return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([len(points)], pa.int32()), *[pa.array([nodes[n].tobytes()], pa.binary()) for n in nodes]],
+                                              ["tree", "n", *nodes])
+
+        tree, marks, points = None, None, None
+        for batch in batches:
+            for t, m, p in zip(*[c.to_pylist() for c in batch.columns]):
+                if t != tree:
+                    if tree is not None:
+                        yield grown()
+                    tree, marks, points = t, np.empty(0, np.uint64), np.empty((0, width))
+                marks, points = _lowest(np.concatenate([marks, np.frombuffer(m, np.uint64)]), np.concatenate([points, np.frombuffer(p).reshape(-1, width)]), size)
+        if tree is not None:
+            yield grown()
+
+    # a tree has fewer than 2 * size nodes
+    found = sorted(samples.repartition("tree").sortWithinPartitions("tree").mapInArrow(
+        grow, "tree int, n int, feature binary, threshold binary, child binary, path binary").collect(), key=lambda r: r["tree"])
+    if not found:
+        return test.withColumn("score", F.lit(None).cast("double"))
+    root = np.cumsum([0, *[len(r["path"]) // 8 for r in found]])[:-1].astype(np.int32)
+    whole = {n: np.concatenate([np.frombuffer(r[n], k) for r in found]) for n, k in (("feature", np.int32), ("threshold", np.float64), ("path", np.float64))}
+    child = np.concatenate([np.frombuffer(r["child"], np.int32) + first for r, first in zip(found, root)])
+    shared = train.sparkSession.sparkContext.broadcast((root, whole["feature"], whole["threshold"], child, whole["path"], average_path(found[0]["n"]) or 1.0))
 
     @F.pandas_udf("double")
     def path_score(*parts: pd.Series) -> pd.Series:
+        root, feature, threshold, child, path, norm = shared.value
         x = np.column_stack([p.to_numpy(dtype=float) for p in parts])
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for f, t, left, right, path in grown:
-            at = np.zeros(len(x), dtype=int)
-            for _ in range(limit + 1):
-                inner = f[at] >= 0
-                if not inner.any():
-                    break
-                go = x[rows, np.maximum(f[at], 0)] < t[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            total += path[at]
-        return pd.Series(np.power(2.0, -total / len(grown) / norm))
-
-    return test.withColumn("score", path_score(*cols))
+        out = np.empty(len(x))
+        for first in range(0, len(x), 512):
+            some = x[first:first + 512]
+            flat, base = some.ravel(), np.arange(len(some), dtype=np.int32)[:, None] * width
+            at = np.broadcast_to(root, (len(some), len(root)))
+            for _ in range(limit):
+                at = child[at] + (flat[base + feature[at]] >= threshold[at])
+            out[first:first + 512] = path[at].sum(axis=1)
+        return pd.Series(np.power(2.0, -out / len(root) / norm))
+
+    return test.withColumn("score", path_score(*names))
 
 
 def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20, **search) -> DataFrame:

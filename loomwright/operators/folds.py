@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.expr import bucket_index, hash_key, literal_map, row_count
-from loomwright.plans.scan import row_numbers, running
-from loomwright.plans.store import load_or_build
+from loomwright.functions.expr import hash_key, literal_map, row_count
+from loomwright.plans.scan import row_numbers
+from loomwright.plans.store import cut, load_or_build
 
 
 def _fold(n: Column, k: int) -> Column:
@@ -39,50 +39,17 @@ def repeat_seeds(df: DataFrame, id_col: str, label: str, k: int, seeds: Sequence
     return n.select(id_col, "seed", _fold(F.col("__n"), k).alias("fold"))
 
 
-def group_folds(df: DataFrame, group: str, k: int, max_heavy: int = 10_000) -> DataFrame:
-    """Whole groups per fold: (group, n, fold).
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Whole groups per fold: (group, n, fold); rows without a group are one group.
 
-    The largest groups go one by one, largest first, to the lightest fold. Groups too small to move the
-    balance are laid out by running size over the room each fold has left, without passing the driver.
+    Groups are numbered from the largest (ties by key) and dealt to the folds in turn, forth and back: a round puts one
+    group into each fold, and the next round starts with the fold that got the smallest one. So two folds never differ by
+    more than the largest group.
     """
-    sizes = df.groupBy(group).agg(row_count().alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # at most max_heavy groups can be this large
-    floor = max(1, -(-total // max_heavy))
-    heavy = sizes.filter(F.col("n") >= floor).orderBy(F.desc("n"), group).collect()
-    loads, placed = [0] * k, {}
-    for r in heavy:
-        f = loads.index(min(loads))
-        loads[f] += r["n"]
-        placed[r[group]] = f
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(g, f) for g, f in placed.items()], f"__g {dict(df.dtypes)[group]}, fold int")
-    # rows without a group are one group
-    top = sizes.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
-    tail = sizes.filter(F.col("n") < floor)
-    rest = total - sum(loads)
-    if rest == 0:
-        return top
-    # room below the common level, cut off where a heavy fold already exceeds it
-    order = sorted(range(k), key=lambda f: loads[f])
-    room, left = [0.0] * k, float(rest)
-    for i, f in enumerate(order):
-        level = loads[order[i + 1]] if i + 1 < k else None
-        step = left / (i + 1) if level is None else min(left / (i + 1), level - loads[f])
-        for g in order[: i + 1]:
-            room[g] += step
-        left -= step * (i + 1)
-        if left <= 0:
-            break
-    edges, acc = [], 0.0
-    for f in range(k - 1):
-        acc += room[f]
-        edges.append(acc)
-    keyed = tail.withColumn("__h", hash_key(group))
-    cum = running(keyed, [], [F.col("__h"), F.col(group)], sums={"__c": F.col("n")})
-    spread = cum.withColumn("fold", bucket_index(F.col("__c") - F.col("n") / 2.0, edges)).select(group, "n", "fold")
-    return top.unionByName(spread)
+    sizes = cut(df.groupBy(group).agg(row_count().alias("n")))
+    ranked = row_numbers(sizes, [], [F.desc("n"), F.col(group)], "__n", by=[-F.col("n"), F.col(group)])
+    turn, place = F.floor((F.col("__n") - 1) / k), (F.col("__n") - 1) % k
+    return ranked.select(group, "n", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
 def multilabel(labels: DataFrame, ids: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:

@@ -13,6 +13,7 @@ from loomwright.operators import neighbours as N
 from loomwright.operators import text_models as TM
 from loomwright.queries.fixtures import scores_wide, split_col, split_lines
 from loomwright.queries.history import rounded
+from loomwright.plans.store import cut
 from loomwright.queries.registry import query
 from loomwright.sources import table
 
@@ -241,8 +242,8 @@ def an_iforest(spark, d):
         F.concat_ws("|", *[C(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")]).alias("row_id"),
         "l_orderkey", "l_quantity", "l_extendedprice", (C("l_discount") + 0.0).alias("l_discount"), "l_tax")
     train = split_col("l_orderkey") == "train"
-    out = A.isolation_forest(l.filter(train), l.filter(~train), "row_id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], trees=100)
-    return A.scaled(out.select("row_id", "score"))
+    out = A.isolation_forest(l.filter(train), l.filter(~train), "row_id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return A.scaled(cut(out.select("row_id", "score")))
 
 
 def near_sql(points: str, k: int) -> str:

@@ -309,6 +309,37 @@ def test_isolation_forest_finds_outlier(spark):
     assert out["id"] == 300 and 0 < out["score"] < 1
 
 
+def plain_forest(rows, trees, size, seed):
+    """Tree by tree, row by row, on samples picked by a full sort."""
+    x = np.array([r[1:] for r in rows])
+    limit = math.ceil(math.log2(size))
+    turn = A._mixed((np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * A._SPREAD[0])
+    total = np.zeros(len(x))
+    for t in range(trees):
+        marks = A._mixed(np.array([r[0] for r in rows], np.int64).view(np.uint64) ^ turn[t])
+        order = sorted(range(len(x)), key=lambda k: (marks[k], *x[k]))[:size]
+        tree = A._grow(x[order], np.random.default_rng([seed, t]), limit)
+        for k, row in enumerate(x):
+            at = 0
+            while tree["child"][at] != at:
+                at = tree["child"][at] + (row[tree["feature"][at]] >= tree["threshold"][at])
+            total[k] += tree["path"][at]
+    return 2.0 ** (-total / trees / A.average_path(min(size, len(x))))
+
+
+def test_isolation_forest_equals_a_plain_one_on_any_partitioning(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(500, 2)))], "id long, a double, b double")
+    marked = df.select(F.xxhash64("id", "a", "b"), "a", "b", "id").orderBy("id").collect()
+    want = plain_forest([tuple(r)[:3] for r in marked], 12, 32, 5)
+    first = None
+    for parts in (1, 7):
+        got = [r["score"] for r in A.isolation_forest(df.repartition(parts), df, "id", ["a", "b"], trees=12, size=32, seed=5).orderBy("id").collect()]
+        assert np.allclose(got, want, rtol=1e-12) and (first is None or got == first)
+        first = got
+    assert A.isolation_forest(df.limit(0), df, "id", ["a", "b"], trees=3).filter("score is null").count() == 500
+
+
 def test_t_test_p_value():
     assert profile.t_two_sided_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert profile.t_two_sided_p(0.0, 5) == pytest.approx(1.0)

@@ -96,17 +96,23 @@ def test_stratified_folds(spark):
 
 def test_group_folds_whole_and_balanced(spark):
     df = skewed(spark, 2000).withColumn("g", F.when(F.col("k") == 0, F.col("id") % 90 + 100).otherwise(F.col("k")).cast("long"))
-    for heavy in (10_000, 12):
-        g = FO.group_folds(df, "g", 4, max_heavy=heavy)
-        assert g.count() == df.select("g").distinct().count()
-        sizes = [r["s"] for r in g.groupBy("fold").agg(F.sum("n").alias("s")).collect()]
-        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 120
+    g = FO.group_folds(df, "g", 4)
+    assert g.count() == df.select("g").distinct().count()
+    sizes = [r["s"] for r in g.groupBy("fold").agg(F.sum("n").alias("s")).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= g.agg(F.max("n")).first()[0]
 
 
 def test_group_folds_one_giant(spark):
     df = spark.range(900).select(F.when(F.col("id") < 500, -1).otherwise(F.col("id")).alias("g"))
-    sizes = sorted(r["s"] for r in FO.group_folds(df, "g", 4, max_heavy=4).groupBy("fold").agg(F.sum("n").alias("s")).collect())
-    assert sizes[-1] == 500 and max(sizes[:-1]) - min(sizes[:-1]) <= 3
+    sizes = sorted(r["s"] for r in FO.group_folds(df, "g", 4).groupBy("fold").agg(F.sum("n").alias("s")).collect())
+    assert max(sizes[:-1]) - min(sizes[:-1]) <= 1 and sizes[-1] - sizes[0] <= 500
+
+
+def test_group_folds_are_the_same_in_chunks(spark, small_groups):
+    df = skewed(spark, 1500).withColumn("g", F.col("id") % 97)
+    got = {r["g"]: r["fold"] for r in FO.group_folds(df, "g", 5).collect()}
+    sizes = sorted(((-r["count"], r["g"]) for r in df.groupBy("g").count().collect()))
+    assert got == {g: (k % 5 if k // 5 % 2 == 0 else 4 - k % 5) for k, (_, g) in enumerate(sizes)}
 
 
 def test_quotas_sum():
@@ -115,9 +121,8 @@ def test_quotas_sum():
 
 def test_group_folds_keep_rows_without_group(spark):
     df = spark.createDataFrame([(g,) for g in [1, 1, None, None, None, 2]], "g long")
-    for heavy in (10_000, 2):
-        got = {r["g"]: (r["n"], r["fold"]) for r in FO.group_folds(df, "g", 3, max_heavy=heavy).collect()}
-        assert {g: n for g, (n, _) in got.items()} == {1: 2, 2: 1, None: 3} and all(f is not None for _, f in got.values())
+    got = {r["g"]: (r["n"], r["fold"]) for r in FO.group_folds(df, "g", 3).collect()}
+    assert got == {None: (3, 0), 1: (2, 1), 2: (1, 2)}
 
 
 def test_chunks_of_a_narrow_band_and_of_ties(spark):
