@@ -19,7 +19,7 @@ from loomwright.operators.encode import minmax_scaler
 from loomwright.operators.neighbours import knn
 from loomwright.operators.sets import hash_numbered
 from loomwright.plans.quantile import column_quantiles
-from loomwright.plans.store import cut
+from loomwright.plans.store import cut, spread
 
 
 def scaled(df: DataFrame, score: str = "score") -> DataFrame:
@@ -188,7 +188,8 @@ def isolation_forest(train: DataFrame, test: DataFrame, id_col: str, cols: Seque
     """
     names, width, limit = list(cols), len(cols), math.ceil(math.log2(max(2, size)))
     numbers = F.array(*[F.col(c).cast("double") for c in names])
-    samples = _tree_samples(train.select(F.xxhash64(F.col(id_col), *[F.col(c).cast("double") for c in names]), numbers), width, trees, size, seed)
+    mark = F.xxhash64(F.col(id_col), *[F.col(c).cast("double") for c in names]).alias("mark")
+    samples = _tree_samples(spread(train.select(mark, numbers.alias("x")), "mark"), width, trees, size, seed)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grown():
@@ -231,7 +232,7 @@ def isolation_forest(train: DataFrame, test: DataFrame, id_col: str, cols: Seque
             out[first:first + 512] = path[at].sum(axis=1)
         return pd.Series(np.power(2.0, -out / len(root) / norm))
 
-    return test.withColumn("score", path_score(*names))
+    return spread(test, id_col).withColumn("score", path_score(*names))
 
 
 def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20, **search) -> DataFrame:

@@ -67,6 +67,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores where its source gives fewer partitions, as a small file does; for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False,
     partition_by: list[str] | None = None,
