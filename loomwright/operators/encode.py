@@ -11,12 +11,14 @@ from loomwright.functions.expr import col, map_value
 from loomwright.plans.quantile import column_quantiles
 from loomwright.plans.scan import row_numbers
 from loomwright.plans.stage import FittedStage, StageChain
+from loomwright.plans.store import cut
 
 MAX_LEVELS = 10_000
 
 
 def levels_of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted non-missing levels; a column with too many levels for indicator columns is an error."""
+    """Sorted non-missing levels; a column with too many levels for columns of their own is an
+    error (``sparse_onehot`` takes any number)."""
     found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
     if len(found) > max_levels:
         raise ValueError(f"{column} has more than {max_levels} levels")
@@ -61,6 +63,37 @@ def onehot(column: str, drop_first: bool = False, missing_level: bool = False) -
     return FittedStage(lambda train: levels_of(train, column), apply)
 
 
+def sparse_onehot(columns: Sequence[str], out: str = "onehot", missing_level: bool = False) -> FittedStage:
+    """Indicators of any number of levels as (size, indices): the places of a row's ones in the joined level lists.
+
+    The level dictionary is a table (column, level, place) with places in level order, column after column; rows find
+    theirs by joins. Levels not seen in training have no place; with ``missing_level`` NULL has one behind its column's.
+    """
+
+    def fit(train: DataFrame):
+        tables, first = [], 0
+        for c in columns:
+            levels = cut(level_union([(train.select(F.col(c).cast("string").alias(c)), c)]))
+            n = levels.count()
+            tables.append((c, levels.select("level", (F.col("code") + first).cast("int").alias("place")), first + n))
+            first += n + missing_level
+        return tables, first
+
+    def apply(df: DataFrame, spec):
+        tables, size = spec
+        found = df
+        for i, (c, levels, null_place) in enumerate(tables):
+            one = levels.select(F.col("level").alias(f"__l{i}"), F.col("place").alias(f"__p{i}"))
+            found = found.join(one, F.col(c).cast("string") == F.col(f"__l{i}"), "left").drop(f"__l{i}")
+            if missing_level:
+                found = found.withColumn(f"__p{i}", F.when(F.col(c).isNull(), null_place).otherwise(F.col(f"__p{i}")))
+        places = [f"__p{i}" for i in range(len(tables))]
+        ones = F.filter(F.array(*places), lambda p: p.isNotNull())
+        return found.withColumn(out, F.struct(F.lit(size).alias("size"), ones.alias("indices"))).drop(*places)
+
+    return FittedStage(fit, apply)
+
+
 def onehot_to_code(flags: Sequence[str]) -> Column:
     return (F.array_position(F.array(*[F.col(c) for c in flags]), 1) - 1).cast("int")
 

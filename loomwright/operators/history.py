@@ -174,18 +174,21 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def cooccurrence(df: DataFrame, row_key: str, label: str, labels: Sequence) -> DataFrame:
-    """How many rows carry both labels, as a Gram matrix of the row's 0/1 vector over a known label list."""
-    if len(labels) > 256:
-        raise ValueError("the label list is a fixed vocabulary of at most 256 entries")
-    names = [f"y{i}" for i in range(len(labels))]
-    wide = df.groupBy(row_key).agg(*[F.max((F.col(label) == v).cast("int")).alias(n) for n, v in zip(names, labels)])
-    # one row per label a row carries, summed against the whole 0/1 vector: K x K sums, no pairs are emitted
-    carried = wide.select(*names, F.explode(F.array(*[F.when(F.col(n) == 1, F.lit(i)) for i, n in enumerate(names)])).alias("a"))
-    table = carried.filter("a is not null").groupBy("a").agg(*[F.sum(n).alias(n) for n in names])
-    long = table.select("a", F.posexplode(F.array(*names)).alias("b", "n")).filter("a < b and n > 0")
-    name_of = F.array(*[F.lit(v) for v in labels])
-    return long.select(F.get(name_of, F.col("a")).alias("label_a"), F.get(name_of, F.col("b")).alias("label_b"), "n")
+def cooccurrence(df: DataFrame, row_key: str, label: str, block: int = 64) -> DataFrame:
+    """How many rows carry both labels: (label_a, label_b, n), each pair once, over any vocabulary.
+
+    Equal label sets are added up first. A set is cut into blocks of labels, and pairs come from pairs of its blocks, so
+    that a row with very many labels is worked off in pieces. Labels stand in order, NULL labels count for nothing.
+    """
+    sets = df.filter(F.col(label).isNotNull()).groupBy(row_key).agg(F.array_sort(F.collect_set(label)).alias("s"))
+    same = sets.filter(F.size("s") > 1).groupBy("s").agg(row_count().alias("n"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("s") - 1) / block).cast("int"))
+    lefts = same.select("s", "n", F.explode(starts).alias("i"))
+    both = lefts.select("n", F.slice("s", F.col("i") * block + 1, block).alias("a"), "i",
+                        F.explode(F.transform(F.sequence(F.col("i"), F.floor((F.size("s") - 1) / block).cast("int")), lambda j: F.struct(j.alias("j"), F.slice("s", j * block + 1, block).alias("b")))).alias("o"))
+    one = both.select("n", F.explode("a").alias("label_a"), F.col("o.b").alias("b"))
+    pairs = one.select("n", "label_a", F.explode("b").alias("label_b")).filter("label_a < label_b")
+    return pairs.groupBy("label_a", "label_b").agg(F.sum("n").alias("n"))
 
 
 def label_cardinality(df: DataFrame, row_key: str, label: str) -> DataFrame:

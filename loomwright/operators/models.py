@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,6 +24,7 @@ from loomwright.operators.history import class_weights
 from loomwright.operators.metrics import roc_auc
 from loomwright.operators.sets import train_side, valid_side
 from loomwright.plans.stage import StageChain
+from loomwright.plans.store import cut
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -108,9 +110,42 @@ def linear_member(alpha: float, mix: float):
     return fit
 
 
-def perceptron(layers: Sequence[int], seed: int = 42, max_iter: int = 40):
-    def fit(tr: DataFrame):
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=list(layers), seed=seed, maxIter=max_iter, tol=1e-4).fit(tr)
+@dataclass(frozen=True)
+class Perceptron:
+    """A fitted net, and the validation loss after each round that it was trained for."""
+
+    model: object
+    losses: tuple[float, ...]
+    best: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+def log_loss_of(scored: DataFrame, label: str = "y", eps: float = 1e-15) -> float:
+    """Mean log loss of class probabilities."""
+    p = F.get(vector_to_array("probability"), F.col(label).cast("int"))
+    return scored.agg(F.avg(-F.log(F.greatest(p, F.lit(eps))))).first()[0]
+
+
+def perceptron_with_stop(layers: Sequence[int], validation: str, seed: int = 42, round_iter: int = 10, max_rounds: int = 12, patience: int = 2, least_gain: float = 5e-4):
+    """A net trained in rounds from the weights kept; it stops when the validation rows' loss has not fallen for ``patience``
+    rounds and returns the best round. ``validation`` is a flag column; without such rows the training rows decide."""
+
+    def fit(tr: DataFrame) -> Perceptron:
+        rows = cut(tr.select("features", "y", F.coalesce(F.col(validation), F.lit(False)).alias("__held")))
+        train, held = rows.filter(~F.col("__held")), rows.filter("__held")
+        held = train if held.isEmpty() else held
+        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=list(layers), seed=seed, maxIter=round_iter, tol=0.0)
+        losses, best, kept, model = [], -1, None, None
+        for n in range(max_rounds):
+            model = (net if model is None else net.copy().setInitialWeights(model.weights)).fit(train)
+            losses.append(log_loss_of(model.transform(held)))
+            if best < 0 or losses[n] < losses[best] - least_gain:
+                best, kept = n, model
+            elif n - best >= patience:
+                break
+        return Perceptron(kept, tuple(losses), best)
 
     return fit
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,15 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def point_biserial(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
+    """Correlation with a 0/1 target, its t value and two-sided p-value: one row a column."""
     r = by_column(df, columns, lambda c: {"r": F.corr(c, y), "n": F.count(F.when(F.col(y).isNotNull(), F.col(c)))})
-    return r.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    t = r.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(a) or m < 3 else t_two_sided_p(a, m - 2) for a, m in zip(t.astype(float), n)], dtype=float)
+
+    return t.withColumn("p", p_value("t", "n"))
 
 
 def rate_by_level(df: DataFrame, columns: Sequence[str], y: Column) -> DataFrame:

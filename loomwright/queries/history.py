@@ -11,7 +11,6 @@ from loomwright.sources import table
 
 C = F.col
 CUT = "2002-01-01"
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def rounded(df, digits=6):
@@ -210,12 +209,12 @@ def agg_class_weights(spark, d):
     return o.join(H.class_weights(o, "o_orderstatus"), "o_orderstatus")
 
 
-@query("agg_cooccurrence", """WITH r AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT *, replace(p_brand, 'Brand#', '')::INT AS k FROM r)
-  SELECT a.p_brand AS label_a, b.p_brand AS label_b, count(*) AS n FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.k < b.k GROUP BY 1, 2""")
+@query("agg_cooccurrence", """WITH r AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT * FROM r)
+  SELECT a.p_brand AS label_a, b.p_brand AS label_b, count(*) AS n FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.p_brand < b.p_brand GROUP BY 1, 2""")
 def agg_cooccurrence(spark, d):
     p = table(spark, d, "part").select(C("p_partkey").alias("l_partkey"), "p_brand")
     l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey")
-    return H.cooccurrence(l, "l_orderkey", "p_brand", BRANDS)
+    return H.cooccurrence(l, "l_orderkey", "p_brand")
 
 
 @query("agg_label_cardinality", """SELECT n_labels, count(*) AS n_rows FROM (SELECT conv_id, count(DISTINCT role) AS n_labels FROM conversations GROUP BY 1) GROUP BY 1""")

@@ -180,6 +180,19 @@ def enc_onehot_na(spark, d):
     return E.onehot("o_orderpriority", missing_level=True).fit(o).apply(o).drop("o_orderpriority")
 
 
+@query("enc_onehot_sparse", """WITH p AS (SELECT DISTINCT l_partkey::VARCHAR AS v FROM lineitem WHERE l_orderkey % 5 < 4), f AS (SELECT DISTINCT l_returnflag AS v FROM lineitem WHERE l_orderkey % 5 < 4),
+  a AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INT AS place FROM p), b AS (SELECT v, ((SELECT count(*) FROM p) + row_number() OVER (ORDER BY v) - 1)::INT AS place FROM f)
+  SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, ((SELECT count(*) FROM p) + (SELECT count(*) FROM f))::INT AS size, a.place AS part_place, b.place AS flag_place
+  FROM lineitem l LEFT JOIN a ON a.v = l.l_partkey::VARCHAR LEFT JOIN b ON b.v = l.l_returnflag""")
+def enc_onehot_sparse(spark, d):
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    out = E.sparse_onehot(["l_partkey", "l_returnflag"]).fit(l.filter(split_col("l_orderkey") == "train")).apply(l)
+    n_flags = 3
+    flag_place = F.get(F.filter("onehot.indices", lambda p: p >= C("onehot.size") - n_flags), F.lit(0))
+    part_place = F.get(F.filter("onehot.indices", lambda p: p < C("onehot.size") - n_flags), F.lit(0))
+    return out.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", C("onehot.size").alias("size"), part_place.alias("part_place"), flag_place.alias("flag_place"))
+
+
 @query("enc_onehot_to_label", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS code FROM orders")
 def enc_onehot_to_label(spark, d):
     o = table(spark, d, "orders")
@@ -223,10 +236,14 @@ def _customers(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", (C("c_nationkey") % 3).cast("string").alias("zone"))
 
 
-@query("enc_family_chain", """WITH x AS (SELECT c_custkey, c_acctbal, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS seg, c_nationkey % 3 AS zone FROM customer),
+_FAMILIES = """WITH x AS (SELECT c_custkey, c_acctbal, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS seg, c_nationkey % 3 AS zone FROM customer),
   f AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(seg) AS ms, stddev_pop(seg) AS ss FROM x WHERE c_custkey % 5 < 4)
   SELECT c_custkey, c_acctbal AS tree_balance, seg AS tree_segment, zone AS tree_zone, round((c_acctbal - ma) / sa, 6) + 0.0 AS linear_balance, round((seg - ms) / ss, 6) + 0.0 AS linear_segment,
-  (zone = 0)::INT AS zone_0, (zone = 1)::INT AS zone_1, (zone = 2)::INT AS zone_2 FROM x, f""")
+  (zone = 0)::INT AS zone_0, (zone = 1)::INT AS zone_1, (zone = 2)::INT AS zone_2 FROM x, f"""
+
+
+@query("enc_pipeline", _FAMILIES)
+@query("enc_family_chain", _FAMILIES)
 def enc_family_chain(spark, d):
     c = _customers(spark, d)
     train = c.filter(split_col("c_custkey") == "train")

@@ -31,7 +31,7 @@ def orders_matrix(spark, d):
         (F.month("o_orderdate") / 12.0).alias("month"), (F.substring("o_orderpriority", 1, 1).cast("int") / 5.0).alias("priority"),
         (F.when(C("o_orderkey") % 2 == 0, y).otherwise(0) + (C("o_custkey") % 10) / 10.0).alias("hint"),
         (F.substring("o_orderpriority", 1, 1).cast("int") - 1).cast("double").alias("klass"))
-    return ML.assemble(o, COLS)
+    return cut(ML.assemble(o, COLS))  # every fold reads the assembled rows
 
 
 def _oof(spark, d, fit):
@@ -77,7 +77,7 @@ def ml_forest(spark, d):
 @query("ml_gbt")
 def ml_gbt(spark, d):
     m = orders_matrix(spark, d).withColumn("is_valid", C("row_id") % 7 == 0)
-    return ML.oof_loop(m, [0, 1], ML.boosted(rounds=10, validation="is_valid"), ["row_id", "y"])
+    return ML.oof_loop(m, FOLDS, ML.boosted(rounds=10, validation="is_valid"), ["row_id", "y"])
 
 
 @query("ml_gbt_multiclass")
@@ -106,7 +106,8 @@ def labelled_texts(spark, d):
 
 @query("ml_svc")
 def ml_svc(spark, d):
-    return ML.oof_loop(labelled_texts(spark, d), FOLDS, ML.svc(), ["row_id", "y"], lambda: TM.hashed_tfidf("text"))
+    counted = TM.hashed_counts(labelled_texts(spark, d), "text", 1 << 16).drop("text")
+    return ML.oof_loop(counted, FOLDS, ML.svc(), ["row_id", "y"], TM.hashed_tfidf)
 
 
 _KINDS = """w0 AS (SELECT row_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM docs),
@@ -131,7 +132,8 @@ def ml_nb(spark, d):
 
 @query("ml_mlp")
 def ml_mlp(spark, d):
-    return _oof(spark, d, ML.perceptron([len(COLS), 8, 2]))
+    m = orders_matrix(spark, d).withColumn("is_valid", C("row_id") % 7 == 0)
+    return ML.oof_loop(m, FOLDS, ML.perceptron_with_stop([len(COLS), 8, 2], "is_valid"), ["row_id", "y"])
 
 
 @query("ml_random_search")

@@ -158,11 +158,11 @@ _TFIDF = """, dfs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROU
 
 
 @query("txt_tfidf_word", """WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2)""" + _TFIDF.format(m=3, feat=", best AS (SELECT term, df FROM dfs ORDER BY total DESC, term LIMIT 20000)", src="best"))
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2)""" + _TFIDF.format(m=3, feat="", src="dfs"))
 def txt_tfidf_word(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
-    tf = T.word_counts(doc, "doc_id", "text")
-    return _summary(T.tfidf(tf, T.document_frequency(tf, 3, 20000), "doc_id", doc.count()))
+    tf = cut(T.word_counts(doc, "doc_id", "text"))
+    return _summary(T.tfidf(tf, T.document_frequency(tf, 3), "doc_id", doc.count()))
 
 
 _GRAM = "[" + ", ".join(f"CASE WHEN length(w) >= {n} THEN list_transform(range(1, length(w) - {n} + 2), lambda i: substr(w, i, {n})) ELSE [] END" for n in (3, 4, 5)) + "]"
@@ -172,7 +172,7 @@ _GRAM = "[" + ", ".join(f"CASE WHEN length(w) >= {n} THEN list_transform(range(1
   g AS (SELECT doc_id, n, unnest(flatten({_GRAM})) AS term FROM p), tf AS (SELECT doc_id, term, sum(n) AS tf FROM g GROUP BY 1, 2)""" + _TFIDF.format(m=3, feat="", src="dfs"))
 def txt_tfidf_char(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
-    tf = T.char_counts(doc, "doc_id", "text")
+    tf = cut(T.char_counts(doc, "doc_id", "text"))
     return _summary(T.tfidf(tf, T.document_frequency(tf, 3), "doc_id", doc.count()))
 
 

@@ -359,3 +359,29 @@ def test_undersample_and_keep(spark):
     got = {r["y"]: r["count"] for r in sets.undersample(df, "id", "y").groupBy("y").count().collect()}
     assert got == {0: 7, 1: 7}
     assert sets.keep_positives(df, "id", F.col("y") == 1, 10).count() == 17
+
+
+def test_sparse_onehot_of_many_levels(spark):
+    df = spark.range(100_000).select(F.col("id"), (F.col("id") % 100_000).cast("string").alias("c"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("d"))
+    out = encode.sparse_onehot(["c", "d"], missing_level=True).fit(df).apply(df.union(spark.createDataFrame([(-1, "new", 9)], "id long, c string, d long")))
+    rows = {r["id"]: r["onehot"] for r in out.filter("id < 4 or id = 99999").collect()}
+    place = {c: i for i, c in enumerate(sorted(str(k) for k in range(100_000)))}
+    assert all(r["size"] == 100_004 for r in rows.values()) and rows[-1]["indices"] == []
+    assert rows[0]["indices"] == [place["0"], 100_003] and rows[1]["indices"] == [place["1"], 100_001] and rows[2]["indices"] == [place["2"], 100_002]
+    assert out.select(F.explode("onehot.indices").alias("i")).filter("i < 100000").distinct().count() == 100_000
+
+
+def test_cooccurrence_of_many_labels(spark):
+    rng = np.random.default_rng(1)
+    rows = [(r, f"l{v:03d}") for r in range(40) for v in rng.choice(400, 30, replace=False)] + [(50, "l001"), (50, "l001"), (51, None), (52, "l001"), (52, "l002"), (53, "l001"), (53, "l002")]
+    df = spark.createDataFrame(rows, "r int, label string")
+    want, by = {}, {}
+    for r, v in rows:
+        by.setdefault(r, set()).add(v)
+    for labels in by.values():
+        for a in labels:
+            for b in labels:
+                if a is not None and b is not None and a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    for block in (64, 7):
+        assert {(r["label_a"], r["label_b"]): r["n"] for r in history.cooccurrence(df, "r", "label", block).collect()} == want

@@ -86,10 +86,24 @@ def test_a_fold_says_nothing_about_its_own_model(spark, kind):
         if kind == "nb":
             out = TM.complement_nb(df, "row_id", "text", FOLDS)
         else:
-            out = ML.oof_loop(df, FOLDS, ML.svc(), ["row_id", "y"], lambda: TM.hashed_tfidf("text", 1 << 10))
+            out = ML.oof_loop(TM.hashed_counts(df, "text", 1 << 10), FOLDS, ML.svc(), ["row_id", "y"], TM.hashed_tfidf)
         return {r["row_id"]: r["score"] for r in out.collect()}
 
     before = scores(rows())
     after = scores([r if r[3] != 0 or r[0] == 3 else (r[0], 1 - r[1], "storm new words here", 0) for r in rows()])
     assert before[3] == pytest.approx(after[3], abs=1e-12) and before[6] != after[6]
     assert len(before) == len(after) == 61
+
+
+def test_net_stops_on_labels_that_are_noise(spark):
+    """Labels drawn at random: the validation loss soon rises, the best round is kept, and a clear label trains on."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 6))
+    rows = [(*map(float, r), float(rng.random() < .5), float(r[0] + r[1] > 0), i % 3 == 0) for i, r in enumerate(x)]
+    df = ML.assemble(spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(6)) + ", noise double, clear double, held boolean"), [f"x{i}" for i in range(6)])
+    noise = ML.perceptron_with_stop([6, 12, 2], "held", round_iter=10, max_rounds=15, patience=2)(df.withColumnRenamed("noise", "y"))
+    assert len(noise.losses) < 15 and noise.best == int(np.argmin(noise.losses[:noise.best + 1])) and len(noise.losses) - 1 - noise.best == 2
+    held = df.filter("held").withColumnRenamed("noise", "y")
+    assert ML.log_loss_of(noise.transform(held)) == pytest.approx(noise.losses[noise.best])
+    clear = ML.perceptron_with_stop([6, 12, 2], "held", round_iter=10, max_rounds=6, patience=2)(df.withColumnRenamed("clear", "y"))
+    assert clear.losses[clear.best] < 0.2 < noise.losses[noise.best]
