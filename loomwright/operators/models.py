@@ -128,6 +128,17 @@ def log_loss_of(scored: DataFrame, label: str = "y", eps: float = 1e-15) -> floa
     return scored.agg(F.avg(-F.log(F.greatest(p, F.lit(eps))))).first()[0]
 
 
+def regressions_oof(df: DataFrame, folds: Sequence[int], members: dict[str, Callable[[DataFrame], object]]) -> DataFrame:
+    """Every row with one out-of-fold prediction column a member; a fold's models see the other folds alone."""
+    parts = []
+    for f in folds:
+        train, out = train_side(df, f), valid_side(df, f)
+        for name, fit in members.items():
+            out = fit(train).transform(out).withColumnRenamed("prediction", name)
+        parts.append(out)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def perceptron_with_stop(layers: Sequence[int], validation: str, seed: int = 42, round_iter: int = 10, max_rounds: int = 12, patience: int = 2, least_gain: float = 5e-4):
     """A net trained in rounds from the weights kept; it stops when the validation rows' loss has not fallen for ``patience``
     rounds and returns the best round. ``validation`` is a flag column; without such rows the training rows decide."""

@@ -62,10 +62,9 @@ def ml_logreg(spark, d):
 @query("ml_linear")
 def ml_linear(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C("l_extendedprice").alias("y"), "l_quantity", "l_tax", (C("l_discount") + 0.0).alias("l_discount"))
-    v = ML.assemble(l, ["l_quantity", "l_tax", "l_discount"])
-    out = v
-    for name, alpha, mix in (("ridge", 1.0, 0.0), ("lasso", 5.0, 1.0), ("elastic", 2.0, 0.5)):
-        out = ML.linear_member(alpha, mix)(v).transform(out).withColumnRenamed("prediction", name)
+    v = cut(ML.assemble(l.withColumn("fold", (C("l_orderkey") % 3).cast("int")), ["l_quantity", "l_tax", "l_discount"]))
+    members = {name: ML.linear_member(alpha, mix) for name, alpha, mix in (("ridge", 1.0, 0.0), ("lasso", 5.0, 1.0), ("elastic", 2.0, 0.5))}
+    out = ML.regressions_oof(v, FOLDS, members)
     return out.select("l_orderkey", "l_linenumber", "y", "ridge", "lasso", "elastic")
 
 

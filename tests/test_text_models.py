@@ -107,3 +107,17 @@ def test_net_stops_on_labels_that_are_noise(spark):
     assert ML.log_loss_of(noise.transform(held)) == pytest.approx(noise.losses[noise.best])
     clear = ML.perceptron_with_stop([6, 12, 2], "held", round_iter=10, max_rounds=6, patience=2)(df.withColumnRenamed("clear", "y"))
     assert clear.losses[clear.best] < 0.2 < noise.losses[noise.best]
+
+
+def test_regressions_do_not_see_their_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(3 * a + rng.normal(0, .1)), i % 3) for i, a in enumerate(rng.normal(size=90))]
+
+    def scores(data):
+        df = ML.assemble(spark.createDataFrame(data, "row_id int, x double, y double, fold int"), ["x"])
+        out = ML.regressions_oof(df, FOLDS, {"ridge": ML.linear_member(0.01, 0.0), "lasso": ML.linear_member(0.01, 1.0)})
+        return {r["row_id"]: (r["ridge"], r["lasso"]) for r in out.collect()}
+
+    before, after = scores(rows), scores([(i, x, y + 50 if f == 0 else y, f) for i, x, y, f in rows])
+    assert len(before) == 90 and all(np.allclose(before[i], after[i]) for i in range(0, 90, 3)) and not np.allclose(before[1], after[1])
+    assert all(abs(before[i][0] - y) < 1 for i, _, y, _ in rows)
