@@ -2,7 +2,7 @@
 
 from string import ascii_lowercase, ascii_uppercase
 
-from loomwright.llm import mixing, repair, secret_scan, spelling
+from loomwright.llm import mixing, repair, secret_scan, spelling, substrings
 
 _WORD = mixing.WORD
 
@@ -142,4 +142,45 @@ def _repair() -> str:
     left join best on best.conv_id is not distinct from c.conv_id left join whole w on w.conv_id is not distinct from c.conv_id"""
 
 
-ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix(), "op12_spelling": _spelling(), "op13_repair": _repair()}
+def _components(links: str, nodes: str) -> str:
+    """CTEs: ``reach`` (a, b), all nodes that links lead to from each node, itself included."""
+    return f"reach as (select a, a as b from {nodes} union select r.a, l.b from reach r join {links} l on l.a = r.b)"
+
+
+def _jaccard() -> str:
+    return f"""with recursive w as (select row_number() over () as a, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{_WORD}') as w from documents),
+    sets as (select distinct a, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+    size as (select a, count(*) as n from sets group by a),
+    hits as (select x.a, y.a as b, count(*) as c from sets x join sets y on x.s = y.s and x.a <> y.a group by x.a, y.a),
+    links as (select h.a, h.b from hits h join size m on m.a = h.a join size n on n.a = h.b where 100 * c >= 80 * (m.n + n.n - c)), {_components("links", "w")}
+    select w.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+    from w left join size on size.a = w.a join reach r on r.a = w.a join w o on o.a = r.b group by w.a, w.doc_id"""
+
+
+def _neardup() -> str:
+    return f"""with recursive e as (select vec_id as a, embedding::double[] as v from embeddings),
+    links as (select x.a, y.a as b from e x join e y on x.a <> y.a and list_cosine_similarity(x.v, y.v) >= 0.95), {_components("links", "e")},
+    n as (select a, count(*) as n from links group by a)
+    select e.a as vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(r.b) as component_id, e.a = min(r.b) as kept from e join reach r on r.a = e.a left join n on n.a = e.a group by e.a"""
+
+
+def _substrings() -> str:
+    return f"""with w as (select row_number() over () as a, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+    win as (select a, doc_id, i, md5(array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ')) as h from (select *, unnest(range(1, len(w) - {substrings.WINDOW - 2})) as i from w where len(w) >= {substrings.WINDOW})),
+    late as (select a, i from win join (select h, min(doc_id) as least from win group by h) using (h) where doc_id > least),
+    gone as (select distinct a, unnest(range(i, i + {substrings.WINDOW})) as k from late),
+    each as (select a, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from w),
+    kept as (select a, string_agg(word, ' ' order by k) as t from each anti join gone using (a, k) group by a)
+    select w.doc_id, len(w.w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from w left join kept on kept.a = w.a left join (select a, count(*) as n from gone group by a) g on g.a = w.a"""
+
+
+def _warc() -> str:
+    return """select page_id, bytes as payload_bytes, sha1(body) as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then last end as refers_to
+    from (select *, bytes >= 1000 and page_id < last as again from (select page_id, body, octet_length(encode(body))::bigint as bytes, max(page_id) over (partition by body) as last
+      from (select page_id, coalesce(html, '') as body from pages)))"""
+
+
+ORACLE = {"op1_secrets": _secrets(), "op2_mix": _mix(), "op3_jaccard": _jaccard(), "op4_substrings": _substrings(), "op8_warc": _warc(), "op9_neardup": _neardup(),
+          "op12_spelling": _spelling(), "op13_repair": _repair()}
