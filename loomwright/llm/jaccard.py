@@ -16,7 +16,7 @@ Groups decide which pairs are still of interest, so that a large group of near c
 no link between two groups is lost. Shingle hashes have 64 bits.
 
 Texts without words (NULL, empty) have no shingles and link with nothing; with fewer words than a shingle, the whole
-sequence is one. Rows with NULL doc_id join classes but give them no id. Rows that share an id and a text are equal rows.
+sequence is one. Rows with NULL doc_id have no component, but documents that link over one are linked. Rows that share an id and a text are equal rows.
 """
 
 from __future__ import annotations
@@ -261,7 +261,10 @@ def _rows_of(docs: DataFrame, text: str, shingle: int, wanted: DataFrame, parts:
             yield _batch(rows, SET)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    some = _perhaps_wanted(source, wanted).select("body").mapInArrow(named, "class binary, body binary")
+    some = _perhaps_wanted(source.filter("doc_id is not null"), wanted.filter("doc_id is not null")).select("body")
+    if not wanted.filter("doc_id is null").isEmpty():  # classes that only rows without an id have
+        some = some.unionByName(source.filter("doc_id is null").select("body"))
+    some = some.mapInArrow(named, "class binary, body binary")
     # an inner join, as a class is wanted once: a semi join would be moved below the repartition and shuffle the texts again
     exact = some.filter("class is not null").repartition(parts, "class").join(wanted.select("class"), "class")
     return exact.select("class", "body").mapInArrow(run, "class binary, n int, shingles binary, sketch binary")
@@ -415,7 +418,7 @@ def join(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFra
     common = _common(first_pass.filter("code is not null"))
     tokens = cut(_tokens(docs, text, parts, shingle, common))
     release(spark)
-    wanted = cut(whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class").filter("doc_id is not null"))
+    wanted = cut(whole.join(tokens.select("class").distinct(), "class").select(F.col("first").alias("doc_id"), "class"))
     with _by_class(_rows_of(docs, text, shingle, wanted, parts), parts) as rows:
         release(spark)
         groups = _joined_groups(tokens, rows)
