@@ -24,6 +24,8 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex"]
 VALUE_AT_LEAST = 6
+#: Elements or windows that a step over an array takes at a time.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -59,28 +61,45 @@ CLASSES = (
 ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "[-_=]{6,}", "(?i)example|placeholder|changeme|lorem|xxxx")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named there, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _prefixes(values: Column, first: int, fold) -> Column:
+    """What ``fold`` makes of ``first`` and all elements before each, in blocks, so that the work is nearly linear."""
+    start = F.lit(first).cast("long")
+
+    def running(part: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, v: F.concat(acc, F.array(fold(F.element_at(acc, -1), v))))
+
+    def cut_up(values: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil(F.size(values) / BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+    def put_together(blocks: Column) -> Column:
+        before = running(F.transform(blocks, lambda b: F.aggregate(b, start, fold)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, base: F.transform(
+            F.slice(running(b), F.lit(1), F.size(b)), lambda v: fold(v, base))))
+
+    return let(let(values, cut_up), put_together)
+
+
 def prefix_sums(lengths: Column) -> Column:
-    """Sums of all elements before each, in blocks, so that the work is nearly linear."""
-    block = 256
+    """Sums of all elements before each."""
+    return _prefixes(lengths, 0, lambda a, v: a + v)
 
-    def running(values: Column) -> Column:
-        start = F.array(F.lit(0).cast("long"))
-        return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
 
-    n = F.size(lengths)
-    count = F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(lengths, k * block + 1, block))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, v: a + v))
-    before = running(sums)
-    return F.flatten(F.zip_with(blocks, F.slice(before, 1, count), lambda b, base: F.transform(
-        F.slice(running(b), F.lit(1), F.greatest(F.size(b), F.lit(0))), lambda v: v + base)))
+def prefix_max(values: Column) -> Column:
+    """Largest of all elements before each, -1 if there are none."""
+    return _prefixes(values, -1, lambda a, v: F.greatest(a, v))
 
 
 def match_starts(text: Column, pattern: str, found: Column) -> Column:
     """Start of every match: what lies between the matches and the matches themselves, added up."""
-    gaps = F.split(text, pattern, -1)
-    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g).cast("long") + F.length(m))
-    return F.zip_with(prefix_sums(pieces), F.slice(gaps, F.lit(1), F.size(found)), lambda b, g: b + F.length(g))
+    gaps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(
+        F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("match")))
+    return let(gaps, lambda gaps: F.zip_with(prefix_sums(F.transform(gaps, lambda g: g["gap"] + g["match"])), gaps, lambda b, g: b + g["gap"]))
 
 
 def _none(kind: str) -> Column:
@@ -104,42 +123,61 @@ def pattern_spans(text: Column, pattern: str, rank: int, kind: str, value: int =
     return F.when(text.rlike(pattern), spans).otherwise(_none(SPAN))
 
 
+def chunks(run: Column, size: int) -> Column:
+    return F.regexp_extract_all(run, F.lit("(?s).{1,%d}" % size), F.lit(0))
+
+
 def window_sums(run: Column, cls: CharClass) -> Column:
-    """Sum of costs of every window of a run, each from the counts of the one before."""
+    """Sum of costs of every window of a run, each from the counts of the one before.
+
+    The run is cut into blocks of ``BLOCK`` windows, each with the characters that the next block begins with, so that
+    the work is linear in its length. Counts are packed into a few whole numbers.
+    """
+    def with_next(blocks: Column) -> Column:
+        after = F.concat(F.slice(blocks, F.lit(2), F.size(blocks)), F.array(F.lit("")))
+        return F.zip_with(blocks, after, lambda b, a: F.concat(b, F.substring(a, F.lit(1), F.lit(cls.window - 1))))
+
+    return F.flatten(F.transform(let(chunks(run, BLOCK), with_next), lambda piece: _block_sums(piece, cls)))
+
+
+def _block_sums(piece: Column, cls: CharClass) -> Column:
     costs = F.array(*[F.lit(c).cast("long") for c in cls.costs])
-    width = cls.window
+    width, bits = cls.window, cls.window.bit_length()
+    per = 63 // bits
+    words = -(-len(cls.alphabet) // per)
 
-    def code(at: Column) -> Column:
-        return F.instr(F.lit(cls.alphabet), F.substring(run, at, F.lit(1)))
+    def count(counts: Column, place: Column) -> Column:
+        word = F.element_at(counts, F.floor((place - 1) / per).cast("int") + 1)
+        return F.call_function("shiftright", word, F.pmod(place - 1, F.lit(per)) * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def changed(counts: Column, place: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, k: F.when(k + 1 == place, c + by).otherwise(c))
-
-    def cost(counts: Column, place: Column, by: int) -> Column:
-        return F.element_at(costs, F.element_at(counts, place) + 1 + by)
+        one = F.call_function("shiftleft", F.lit(by).cast("long"), F.pmod(place - 1, F.lit(per)) * bits)
+        at = F.floor((place - 1) / per)
+        return F.transform(counts, lambda c, k: F.when(k == at, c + one).otherwise(c))
 
     def state(counts: Column, total: Column, sums: Column) -> Column:
         return F.struct(counts.alias("counts"), total.cast("long").alias("total"), sums.alias("sums"))
 
-    start = state(F.array_repeat(F.lit(0), len(cls.alphabet)), F.lit(0).cast("long"), _none("array<bigint>"))
-
-    def enter(s: Column, at: Column) -> Column:
-        place = code(at)
-        total = s["total"] + cost(s["counts"], place, 1) - cost(s["counts"], place, 0)
-        return state(changed(s["counts"], place, 1), total, s["sums"])
-
-    def leave(s: Column, at: Column) -> Column:
-        place = code(at)
-        total = s["total"] + cost(s["counts"], place, -1) - cost(s["counts"], place, 0)
-        return state(changed(s["counts"], place, -1), total, s["sums"])
+    def moved(s: Column, place: Column, by: int) -> Column:
+        had = count(s["counts"], place)
+        total = s["total"] + F.element_at(costs, had + 1 + by) - F.element_at(costs, had + 1)
+        return state(changed(s["counts"], place, by), total, s["sums"])
 
-    def step(s: Column, at: Column) -> Column:
-        left = F.transform(F.array(s), lambda x: F.when(at > width, leave(x, F.greatest(at - width, F.lit(1)))).otherwise(x))
-        full = F.transform(left, lambda x: enter(x, at))
+    def step(s: Column, move: Column) -> Column:
+        # one-element arrays hold what the step before made, so that it is computed once
+        left = F.transform(F.array(s), lambda x: F.when(move["out"] > 0, moved(x, F.greatest(move["out"], F.lit(1)), -1)).otherwise(x))
+        full = F.transform(left, lambda x: moved(x, move["into"], 1))
         return F.element_at(F.transform(full, lambda x: state(x["counts"], x["total"], F.when(
-            at >= width, F.concat(x["sums"], F.array(x["total"]))).otherwise(x["sums"]))), 1)
+            move["last"], F.concat(x["sums"], F.array(x["total"]))).otherwise(x["sums"]))), 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda s: s["sums"])
+    def moves(codes: Column) -> Column:
+        out = F.slice(F.concat(F.array_repeat(F.lit(0), width), codes), F.lit(1), F.size(codes))
+        return F.transform(F.arrays_zip(codes.alias("into"), out.alias("out")), lambda z, k: F.struct(
+            z["into"].alias("into"), z["out"].alias("out"), (k + 1 >= width).alias("last")))
+
+    codes = F.filter(F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(cls.alphabet), c)), lambda c: c > 0)
+    start = state(F.array_repeat(F.lit(0).cast("long"), words), F.lit(0).cast("long"), _none("array<bigint>"))
+    return F.aggregate(let(codes, moves), start, step, lambda s: s["sums"])
 
 
 def dense_spans(run: Column, cls: CharClass) -> Column:
@@ -147,15 +185,7 @@ def dense_spans(run: Column, cls: CharClass) -> Column:
     high = F.filter(
         F.transform(window_sums(run, cls), lambda s, k: F.struct(k.cast("long").alias("at"), s.alias("sum"))),
         lambda w: w["sum"] <= cls.most)
-    kind = "array<struct<at:bigint,until:bigint>>"
-
-    def grow(acc: Column, w: Column) -> Column:
-        here = F.struct(w["at"].alias("at"), (w["at"] + cls.window).alias("until"))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), (w["at"] + cls.window).alias("until"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["until"] >= w["at"]), longer).otherwise(F.concat(acc, F.array(here)))
-
-    return F.aggregate(high, _none(kind), grow)
+    return merged(F.transform(high, lambda w: F.struct(w["at"].alias("at"), (w["at"] + cls.window).alias("until"))))
 
 
 def entropy_spans(text: Column, cls: CharClass, rank: int) -> Column:
@@ -193,15 +223,17 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = C
 
 
 def merged(spans: Column) -> Column:
-    """Spans by start, overlapping ones joined: array of (at, until)."""
-    kind = "array<struct<at:bigint,until:bigint>>"
-
-    def grow(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["until"], s["until"]).alias("until"))))
-        return F.when((F.size(acc) > 0) & (last["until"] >= s["at"]), longer).otherwise(F.concat(acc, F.array(F.struct(s["at"].alias("at"), s["until"].alias("until")))))
-
-    return F.aggregate(spans, _none(kind), grow)
+    """Spans by start, overlapping or touching ones joined: array of (at, until). A span begins a new one if all before
+    it have ended; how far they reach is a running maximum, taken in blocks like sums."""
+    def joined(spans: Column) -> Column:
+        untils = F.transform(spans, lambda s: s["until"])
+        heads = F.filter(F.zip_with(spans, prefix_max(untils), lambda s, r: F.struct(s["at"].alias("at"), r.alias("before"))), lambda h: h["before"] < h["at"])
+        return let(heads, lambda heads: F.zip_with(
+            heads, F.concat(F.slice(F.transform(heads, lambda h: h["before"]), F.lit(2), F.size(heads)), F.array(F.array_max(untils))),
+            lambda h, e: F.struct(h["at"].alias("at"), e.alias("until"))))
+
+    none = _none("array<struct<at:bigint,until:bigint>>")
+    return let(spans, lambda s: F.when(F.size(s) > 0, joined(s)).otherwise(none))
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -88,6 +88,17 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == plain_components(rows)
 
 
+def test_jaccard_links_over_rows_without_an_id(spark):
+    a = prose(200, 31).split()
+    b = [*a[:184], *prose(16, 32).split()]
+    c = [*prose(18, 33).split(), *b[18:]]
+    apart = [*prose(24, 34).split(), *a[24:]]
+    rows = [(7, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (None, " ".join(apart)), (5, " ".join([*apart[:190], *prose(10, 35).split()]))]
+    rows = [(i, t, "en", "a", 0, "", k) for k, (i, t) in enumerate(rows)]
+    got = sorted((r[0] or -1, r[1], r[2] if r[2] is not None else -1) for r in jaccard.join(spark.createDataFrame(rows, DOCS).repartition(2)).collect())
+    assert got == plain_components(rows) and [r[2] for r in got] == [-1, -1, 3, 5, 3]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -152,6 +163,42 @@ def test_secret_entropy_is_incremental(spark):
     assert sums == want
 
 
+def test_secret_scan_is_linear_in_a_run(spark):
+    import time
+
+    signs = secret_scan.CLASSES[1].alphabet[:62]
+    run = "".join(signs[k] for k in np.random.default_rng(6).integers(0, 62, 400_000))
+    docs = spark.createDataFrame([(1, f"é {run} z"), (2, "=" + run[:5000] + "!")], "doc_id bigint, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: [(s["at"], s["until"]) for s in r["all_spans"]] for r in secret_scan.scan(docs).collect()}
+    assert time.monotonic() - begun < 60
+    cls = secret_scan.CLASSES[1]
+    for i, lead, text in ((1, 2, run), (2, 1, run[:5000])):
+        want = []
+        counts = dict.fromkeys(signs, 0)
+        for k, c in enumerate(text):
+            counts[c] += 1
+            if k >= cls.window:
+                counts[text[k - cls.window]] -= 1
+            if k >= cls.window - 1 and sum(cls.costs[n] for n in counts.values() if n > 1) <= cls.most:
+                at = k - cls.window + 1
+                if want and want[-1][1] >= at:
+                    want[-1][1] = k + 1
+                else:
+                    want.append([at, k + 1])
+        allowed = [re.compile(p) for p in secret_scan.ALLOW]
+        assert got[i] == [(lead + a, lead + b) for a, b in want if not any(p.search(text[a:b]) for p in allowed)] and got[i]
+
+
+def test_merged_spans(spark):
+    from pyspark.sql import functions as F
+
+    spans = [(0, 9), (1, 3), (9, 10), (12, 14), (13, 13), (20, 21)]
+    kind = "array<struct<at:bigint,until:bigint>>"
+    got = spark.createDataFrame([(spans,), ([],)], f"s {kind}").select(secret_scan.merged(F.col("s"))).collect()
+    assert [tuple(x) for x in got[0][0]] == [(0, 10), (12, 14), (20, 21)] and got[1][0] == []
+
+
 def test_prefix_sums_in_blocks(spark):
     from pyspark.sql import functions as F
 
