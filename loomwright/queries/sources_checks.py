@@ -10,6 +10,7 @@ from loomwright.sources import (
     align_external, merge_partitions, parse_frames, read_csv, read_dimension, read_label_matrix, table, upsert_results,
     write_json_report, write_ordered_csv, write_predictions,
 )
+from loomwright.sources.records import read_records, record_index, to_examples, write_records
 
 
 @query("src_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -91,15 +92,19 @@ def src_dimension(spark, d):
   (url LIKE 'https:%')::INT AS label, CASE WHEN url LIKE 'https:%' THEN 'https' ELSE 'http' END AS class_name,
   CASE WHEN page_id % 5 < 4 THEN url ELSE 'v2/' || url END AS path FROM pages""")
 def src_tfrecord_index(spark, d):
+    """The pages as framed example files, one folder a split; their index; the test split converted again and merged."""
     path = fresh_path(spark, "record_index")
     secure = F.col("url").startswith("https:")
-    index = table(spark, d, "pages").select(
-        F.col("page_id").alias("id"), secure.cast("int").alias("label"),
-        F.when(secure, "https").otherwise("http").alias("class_name"), F.col("url").alias("path"),
-        split_col("page_id").alias("split"))
-    merge_partitions(index, path)
-    again = index.filter("split = 'test'").withColumn("path", F.concat(F.lit("v2/"), "path"))
-    merge_partitions(again, path)
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), secure.cast("int").alias("label"), F.col("url").alias("name"),
+                                            F.col("html").alias("body"), split_col("page_id").alias("split"))
+
+    def converted(rows):
+        files = write_records(to_examples(rows, ["id", "label", "name", "body"]), "payload", fresh_path(spark, "record_files"), "split")
+        return record_index(read_records(files), "id", "label", "name", ["http", "https"])
+
+    merge_partitions(converted(pages), path)
+    again = pages.filter("split = 'test'").withColumn("name", F.concat(F.lit("v2/"), "name"))
+    merge_partitions(converted(again), path)
     return spark.read.parquet(path)
 
 
