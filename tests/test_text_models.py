@@ -121,3 +121,13 @@ def test_regressions_do_not_see_their_fold(spark):
     before, after = scores(rows), scores([(i, x, y + 50 if f == 0 else y, f) for i, x, y, f in rows])
     assert len(before) == 90 and all(np.allclose(before[i], after[i]) for i in range(0, 90, 3)) and not np.allclose(before[1], after[1])
     assert all(abs(before[i][0] - y) < 1 for i, _, y, _ in rows)
+
+
+def test_rows_of_a_document_and_term_are_not_stored(spark, monkeypatch):
+    """A term's class sums leave a block once, however many documents have it (before: a row for each of them)."""
+    stored = []
+    monkeypatch.setattr(TM, "cut", lambda df: stored.append(df.localCheckpoint()) or stored[-1])
+    data = [(i, float(i % 2), "storm fire calm", i % 3) for i in range(60)]
+    assert TM.complement_nb(frame(spark, data), "row_id", "text", FOLDS).count() == 60
+    many = {len(terms("storm fire calm")["word"]) + len(terms("storm fire calm")["char"])}
+    assert {df.count() for df in stored if "term" in df.columns} == many
