@@ -52,6 +52,36 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return ranked.select(group, "n", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
+def lightest_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Whole groups per fold: (group, n, fold); each group, from the largest (ties by key, no key last), goes to the fold that
+    is lightest when its turn comes, the first of equals. Rows without a group are one group.
+
+    Only the number of groups of each size passes the driver. Groups of one size fill the lower folds level by level, so
+    their folds repeat with a period that changes at most ``k`` times; a group's fold follows from its place in its size.
+    """
+    sizes = cut(df.groupBy(group).agg(row_count().alias("n")))
+    loads, runs = [0] * k, []
+    for size, many in sizes.groupBy("n").agg(row_count().alias("m")).orderBy(F.desc("n")).collect():
+        low, at = min(loads), 0
+        level = [(load - low) // size for load in loads]
+        rest = [(load - low) % size for load in loads]
+        steps = sorted(set(level))
+        for this, after in zip(steps, [*steps[1:], None]):
+            turn = sorted((f for f in range(k) if level[f] <= this), key=lambda f: (rest[f], f))
+            take = many - at if after is None else min(many - at, (after - this) * len(turn))
+            if take:
+                runs.append((size, at, at + take, turn))
+            for place, f in enumerate(turn):
+                loads[f] += size * (take // len(turn) + (place < take % len(turn)))
+            at += take
+    # at most k rows for each distinct size
+    table = F.broadcast(df.sparkSession.createDataFrame(runs, "__size long, __from long, __to long, __turn array<int>"))
+    placed = row_numbers(sizes, ["n"], [F.col(group).isNull(), F.col(group)], "__n").withColumn("__n", F.col("__n") - 1)
+    inside = (F.col("n") == F.col("__size")) & (F.col("__n") >= F.col("__from")) & (F.col("__n") < F.col("__to"))
+    turn = ((F.col("__n") - F.col("__from")) % F.size("__turn")).cast("int")
+    return placed.join(table, inside).select(group, "n", F.get("__turn", turn).alias("fold"))
+
+
 def multilabel(labels: DataFrame, ids: DataFrame, id_col: str, label: str, k: int, seed: int) -> DataFrame:
     """Every row is dealt out within its rarest label; rows without labels form their own stratum."""
     freq = labels.select(id_col, label).distinct().groupBy(label).agg(row_count().alias("__f"))

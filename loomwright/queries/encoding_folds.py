@@ -170,11 +170,13 @@ def fold_plain(spark, d):
     return FO.plain(_orders(spark, d), "o_orderkey", 5, 42)
 
 
-@query("fold_group", """WITH g AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id NULLS FIRST) - 1 AS r FROM events GROUP BY 1)
-  SELECT event_id, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INT AS fold FROM events JOIN g ON events.user_id IS NOT DISTINCT FROM g.user_id""")
+@query("fold_group", """WITH RECURSIVE s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), g AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS rn FROM s),
+  r AS (SELECT 0::BIGINT AS rn, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0 AS f UNION ALL
+    SELECT g.rn, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END), list_position(loads, list_min(loads))::INT - 1 FROM r JOIN g ON g.rn = r.rn + 1)
+  SELECT event_id, f AS fold FROM events LEFT JOIN g ON events.user_id IS NOT DISTINCT FROM g.user_id LEFT JOIN r USING (rn)""")
 def fold_group(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id")
-    f = FO.group_folds(e, "user_id", 5).withColumnRenamed("user_id", "g")
+    f = FO.lightest_folds(e, "user_id", 5).withColumnRenamed("user_id", "g")
     return e.join(f, C("user_id").eqNullSafe(C("g")), "left").select("event_id", "fold")
 
 

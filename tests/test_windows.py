@@ -115,6 +115,17 @@ def test_group_folds_are_the_same_in_chunks(spark, small_groups):
     assert got == {g: (k % 5 if k // 5 % 2 == 0 else 4 - k % 5) for k, (_, g) in enumerate(sizes)}
 
 
+def test_lightest_folds_are_those_of_one_by_one_dealing(spark):
+    """Sizes far apart, so that dealing in turn is not the lightest fold."""
+    rows = [g for g in range(60) for _ in range(1 + (g * 37 % 23) ** 2 // 9 if g else 200)] + [None] * 7
+    got = {r["g"]: r["fold"] for r in FO.lightest_folds(spark.createDataFrame([(g,) for g in rows], "g long"), "g", 5).collect()}
+    loads, want = [0] * 5, {}
+    for g in sorted(set(rows), key=lambda g: (-rows.count(g), g is None, g or 0)):
+        want[g] = loads.index(min(loads))
+        loads[want[g]] += rows.count(g)
+    assert got == want
+
+
 def test_quotas_sum():
     assert FO.quotas({"a": 5, "b": 3, "c": 2}, 7) == {"a": 4, "b": 2, "c": 1}
 
