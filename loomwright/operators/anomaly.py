@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.expr import array_literal, hash_key, hash_unit, row_count
 from loomwright.operators.encode import minmax_scaler
-from loomwright.operators.neighbours import knn
+from loomwright.operators.neighbours import knn, knn_exact
 from loomwright.operators.sets import hash_numbered
 from loomwright.plans.quantile import column_quantiles
 from loomwright.plans.store import cut, spread
@@ -235,13 +235,13 @@ def isolation_forest(train: DataFrame, test: DataFrame, id_col: str, cols: Seque
     return spread(test, id_col).withColumn("score", path_score(*names))
 
 
-def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20, **search) -> DataFrame:
+def local_outlier_factor(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int = 20) -> DataFrame:
     """Mean neighbour density over own density (id, score); densities come from the train side only.
 
-    Neighbours are those that the bucket search finds (``search``: its tables, bucket and bits).
+    Neighbours are the k nearest of all train rows.
     """
     both = train.select(id_col, vec, F.lit(True).alias("base")).unionByName(test.select(id_col, vec, F.lit(False).alias("base")))
-    near = cut(knn(both, k, id_col, vec, **search))
+    near = cut(knn_exact(both, k, id_col, vec))
     inside = near.join(train.select(F.col(id_col).alias("qid")), "qid", "left_semi")
     reach = inside.groupBy("qid").agg(F.max("dist").alias("kdist"))
     reached = near.join(reach.select(F.col("qid").alias("bid"), "kdist"), "bid")

@@ -385,3 +385,18 @@ def test_cooccurrence_of_many_labels(spark):
                     want[a, b] = want.get((a, b), 0) + 1
     for block in (64, 7):
         assert {(r["label_a"], r["label_b"]): r["n"] for r in history.cooccurrence(df, "r", "label", block).collect()} == want
+
+
+def test_exact_neighbours_are_all_the_nearest(spark):
+    """Spread-out points in 12 dimensions with copies, in small blocks: the bucket search misses some of their neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 12)) + 1000
+    x[700:760] = x[0]
+    base = np.arange(900) % 5 < 4
+    df = spark.createDataFrame([(i, [float(c) for c in v], bool(b)) for i, (v, b) in enumerate(zip(x, base))], "id long, v array<double>, base boolean")
+    got = {}
+    for r in neighbours.knn_exact(df, 6, "id", "v", block=200).orderBy("qid", "rk").collect():
+        got.setdefault(r["qid"], []).append(r["bid"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {i: sorted((j for j in range(900) if base[j] and j != i), key=lambda j: (d[i, j], j))[:6] for i in range(900)}
+    assert got == want
