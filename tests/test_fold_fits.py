@@ -1,8 +1,11 @@
-"""Fits side by side: all folds at once."""
+"""Fits side by side: all folds at once, and the scores of a search without a last fit."""
 
 import threading
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from loomwright.operators import models as ML
@@ -27,6 +30,23 @@ def test_folds_are_fitted_at_the_same_time(spark):
     assert sorted(got) == sorted(alone) and len(got) == 240
 
 
+def test_search_fits_each_fold_and_no_more(spark):
+    df, fits = frame(spark), []
+
+    class Counted(LogisticRegression):
+        def _fit(self, dataset):
+            fits.append(dataset)
+            return super()._fit(dataset)
+
+    space = {"regParam": lambda r: 10 ** r.uniform(-3, 0), "elasticNetParam": [0.0, 0.5, 1.0]}
+    found = ML.random_search(df, Counted(featuresCol="features", labelCol="y", maxIter=15), space, 2, 3)
+    assert len(fits) == 6
+    est = LogisticRegression(featuresCol="features", labelCol="y", maxIter=15)
+    maps = [{est.getParam(n): v for n, v in p.items()} for p, _ in found]
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=3, foldCol="fold")
+    assert np.allclose(cv.fit(df).avgMetrics, [s for _, s in found])
+
+
 def test_members_are_read_once_for_all_folds(spark, monkeypatch):
     stored = []
     keep = ML.cut
