@@ -53,3 +53,12 @@ def test_members_are_read_once_for_all_folds(spark, monkeypatch):
     monkeypatch.setattr(ML, "cut", lambda df: stored.append(df) or keep(df))
     df = frame(spark).select("row_id", "y", "fold", "a", "b").withColumn("y", F.col("y"))
     assert ML.stack_logistic(df, ["a", "b"], [0, 1, 2]).count() == 240 and len(stored) == 1
+
+
+def test_adversarial_rows_are_stored_before_the_folds(spark, monkeypatch):
+    from loomwright.queries import models as Q
+
+    seen = []
+    monkeypatch.setattr(Q.ML, "oof_loop", lambda df, *a, **k: seen.append(df) or df.selectExpr("l_orderkey", "y", "'oof' split", "fold fold_no", "y score"))
+    Q.dr_adversarial(spark, "/root/testdata/sf0.001").collect()
+    assert all("/cut/" in f for f in seen[0].inputFiles())
