@@ -17,8 +17,16 @@ def left_enrich(base: DataFrame, features: DataFrame, key) -> DataFrame:
 
 
 def full_outer_chain(frames: Sequence[DataFrame], key: str) -> DataFrame:
-    """Outer join on one key; every input is already partitioned by it after its own aggregation."""
-    return reduce(lambda a, b: a.join(b, key, "full"), frames)
+    """Outer join on one key; every input is already partitioned by it after its own aggregation.
+
+    What an outer join gives is not, and is dealt anew for the next one. So the narrowest frames come first, and the widest
+    is not dealt again; columns stand in the order of ``frames``.
+    """
+    names = [c for f in frames for c in f.columns if c != key]
+    if len(set(names)) < len(names):
+        return reduce(lambda a, b: a.join(b, key, "full"), frames)
+    narrow_first = sorted(frames, key=lambda f: len(f.columns))
+    return reduce(lambda a, b: a.join(b, key, "full"), narrow_first).select(key, *[F.col(f"`{c}`") for c in names])
 
 
 def inner_rekey(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

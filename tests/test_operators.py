@@ -400,3 +400,21 @@ def test_exact_neighbours_are_all_the_nearest(spark):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     want = {i: sorted((j for j in range(900) if base[j] and j != i), key=lambda j: (d[i, j], j))[:6] for i in range(900)}
     assert got == want
+
+
+def test_outer_chain_deals_the_widest_frame_once(spark):
+    from loomwright.operators.joins import full_outer_chain
+
+    def frame(ids, *names):
+        return spark.createDataFrame([(k, *[k * 10 + i for i in range(len(names))]) for k in ids], ", ".join(f"{n} int" for n in ("k", *names)))
+
+    wide, narrow, other = frame([1, 2, 3], "a", "b", "c", "d"), frame([2, 4], "e"), frame([1, 5], "f", "g")
+    out = full_outer_chain([wide, narrow, other], "k")
+    assert out.columns == ["k", "a", "b", "c", "d", "e", "f", "g"]
+    got = {r["k"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (10, 11, 12, 13, None, 10, 11), 2: (20, 21, 22, 23, 20, None, None), 3: (30, 31, 32, 33, None, None, None),
+                   4: (None, None, None, None, 40, None, None), 5: (None, None, None, None, None, 50, 51)}
+    # the first join is of the narrow frames, the wide one comes after them
+    plan = out._jdf.queryExecution().analyzed().toString()
+    tail = plan[plan.rindex("FullOuter"):]
+    assert max(tail.index("e#"), tail.index("f#")) < tail.index("a#")
