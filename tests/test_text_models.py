@@ -131,3 +131,23 @@ def test_rows_of_a_document_and_term_are_not_stored(spark, monkeypatch):
     assert TM.complement_nb(frame(spark, data), "row_id", "text", FOLDS).count() == 60
     many = {len(terms("storm fire calm")["word"]) + len(terms("storm fire calm")["char"])}
     assert {df.count() for df in stored if "term" in df.columns} == many
+
+
+def test_hashed_features_equal_those_of_spark_ml(spark, monkeypatch):
+    """Places, counts and weights are spark.ml's; what is stored for all folds is packed, without the text (before: vectors, and the text)."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(TM, "COUNTED", 40)
+    data = [*rows(), (90, 1.0, "straße 日本語 x naïve \U0001f600\U0001f600 a_b storm storm " + "long" * 30, 2)]
+    df = frame(spark, data)
+    for features in (1 << 10, 1 << 18):
+        terms = df.withColumn("t", F.coalesce(TM.text_terms("text"), F.array().cast("array<string>")))
+        plain = HashingTF(inputCol="t", outputCol="tf", numFeatures=features).transform(terms)
+        idf = IDF(inputCol="tf", outputCol="w", minDocFreq=2).fit(plain.filter("fold <> 1"))
+        want = {r["row_id"]: r["x"] for r in Normalizer(inputCol="w", outputCol="x").transform(idf.transform(plain)).collect()}
+        counted = TM.hashed_counts(df, "text", features)
+        assert counted.columns == ["row_id", "y", "fold", "tf"] and dict(counted.dtypes)["tf"] == "struct<at:binary,n:binary>"
+        got = {r["row_id"]: r["features"] for r in TM.hashed_tfidf().fit(counted.filter("fold <> 1")).apply(counted).collect()}
+        assert got.keys() == want.keys() and all(got[i].size == features and list(got[i].indices) == list(want[i].indices) for i in want)
+        assert all(np.allclose(got[i].values, want[i].values, rtol=1e-12, atol=0) for i in want) and len(got[60].indices) == 0
