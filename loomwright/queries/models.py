@@ -192,7 +192,8 @@ def dr_adversarial(spark, d):
 
     l = split_lines(spark, d).select("l_orderkey", (C("split") == "test").cast("double").alias("y"), (C("l_orderkey") % 3).cast("int").alias("fold"),
                                      "l_quantity", "l_extendedprice", "l_discount")
-    v = cut(ML.assemble(l, ["l_quantity", "l_extendedprice", "l_discount"]))  # every fold reads the assembled rows
+    v = ML.assemble(l, ["l_quantity", "l_extendedprice", "l_discount"])
+    v = cut(v.select("l_orderkey", "y", "fold", "features"))  # every fold reads the assembled rows
     oof = ML.oof_loop(v, FOLDS, ML.boosted(rounds=5), ["l_orderkey", "y"])
     return roc_auc(oof, []).withColumn("n_rows", F.lit(v.count()))
 

@@ -62,3 +62,24 @@ def test_adversarial_rows_are_stored_before_the_folds(spark, monkeypatch):
     monkeypatch.setattr(Q.ML, "oof_loop", lambda df, *a, **k: seen.append(df) or df.selectExpr("l_orderkey", "y", "'oof' split", "fold fold_no", "y score"))
     Q.dr_adversarial(spark, "/root/testdata/sf0.001").collect()
     assert all("/cut/" in f for f in seen[0].inputFiles())
+
+
+def test_boosted_trees_on_cells_are_those_on_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=12000), rng.integers(0, 9, 12000), np.where(rng.random(12000) < 0.5, 0.0, rng.exponential(size=12000))
+    y = (a + 0.3 * b - c + rng.normal(size=12000) > 1).astype(float)
+    rows = [(i, float(y[i]), i % 3, float(a[i]), float(b[i]), float(c[i])) for i in range(12000)]
+    df = ML.assemble(spark.createDataFrame(rows + rows[:50], "row_id int, y double, fold int, a double, b double, c double"), ["a", "b", "c"])
+    fitted, plain = [], ML.GBTClassifier._fit
+    monkeypatch.setattr(ML.GBTClassifier, "_fit", lambda self, data: fitted.append(data.count()) or plain(self, data))
+
+    def scores():
+        return ML.oof_loop(df, [0, 1, 2], ML.boosted(rounds=4), ["row_id", "y"]).orderBy("row_id", "score").toPandas()
+
+    cells = scores()
+    # what is trained on are the cells of one label: 32 * 9 * 32 of them at most, though there are many more rows
+    assert len(fitted) == 3 and all(n < 6000 for n in fitted)
+    monkeypatch.setattr(ML, "CELLS", 0)
+    whole = scores()
+    assert all(n > 8000 for n in fitted[3:]) and cells.score.nunique() > 20
+    assert (cells.row_id == whole.row_id).all() and np.allclose(cells.score, whole.score, atol=1e-12, rtol=0)
